@@ -1,0 +1,164 @@
+"""Per-file helper of the extraction job: where functions start and end, and the plain counts of each.
+
+Two layouts are told apart: functions delimited by indentation (Python, Ruby) and by braces (all others). The first is
+exact for well-formed Python, the second a best effort. What a nested function holds counts for it alone.
+"""
+
+from __future__ import annotations
+
+import re
+
+STRING = r'"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])*'"
+LONG_STRING = r'"""(?:\\.|[^\\])*?"""' + r"|'''(?:\\.|[^\\])*?'''"
+WORD = r"\d[\w.]*|[^\W\d]\w*"
+OPERATOR = r"=>|->|\*\*=?|//=?|<<=?|>>=?|\?[.?:]|::|:=|&&|\|\||[-+*/%&|^<>=!]=|\.\.\.?|\S"
+INDENTED = re.compile(rf"[a-zA-Z]{{0,2}}(?:{LONG_STRING}|{STRING})|\#[^\n]*|\\\n|\n|{WORD}|{OPERATOR}", re.S)
+BRACED = re.compile(rf"/\*.*?\*/|//[^\n]*|`(?:\\.|[^`\\])*`|{STRING}|\n|{WORD}|{OPERATOR}", re.S)
+COMMENT = {INDENTED: ("#", "\\\n"), BRACED: ("//", "/*")}
+
+# Words and signs that add a path, that open a block which is no function, that declare a function,
+# and that may stand on their own line between a parameter list and its brace.
+DECISIONS = {
+    "if", "elif", "elsif", "for", "foreach", "while", "until", "unless", "case", "when", "catch", "except", "rescue",
+    "and", "or", "&&", "||", "?",
+}
+BLOCKS = {
+    "if", "else", "for", "foreach", "while", "switch", "catch", "do", "try", "finally", "guard", "match", "select",
+    "using", "lock", "synchronized", "class", "struct", "interface", "enum", "namespace", "object", "new", "defer",
+}
+DECLARES = {"func", "function", "fun", "async"}
+BEFORE_BRACE = {"{", "throws", "->", ":", "const", "noexcept", "override", "where"}
+ANONYMOUS = "(anonymous)"
+
+Token = tuple[str, int, "int | None"]  # text, line, column if it is the first of its line
+Span = tuple[str, int, int, int, int]  # name, first and last token, parameters, docstring token or -1
+
+
+def _tokens(pattern: re.Pattern, text: str) -> list[Token]:
+    tokens, line, line_start, first = [], 1, 0, True
+    for match in pattern.finditer(text):
+        token = match.group()
+        if token == "\n":
+            line, line_start, first = line + 1, match.end(), True
+            continue
+        if not token.startswith(COMMENT[pattern]):
+            tokens.append((token, line, match.start() - line_start if first else None))
+            first = False
+        line += token.count("\n")
+    return tokens
+
+
+def _closing(tokens: list[Token], start: int) -> int:
+    """Position of the bracket that closes the one at ``start``."""
+    depth = 0
+    for i in range(start, len(tokens)):
+        depth += (tokens[i][0] in ("(", "[", "{")) - (tokens[i][0] in (")", "]", "}"))
+        if depth == 0:
+            return i
+    return len(tokens) - 1
+
+
+def _parameters(tokens: list[Token], start: int, end: int) -> int:
+    """Pieces between the top-level commas, without bare ``*``, ``/`` and ``void``."""
+    depth, pieces = 0, [[]]
+    for text, _, _ in tokens[start:end]:
+        depth += (text in ("(", "[", "{", "<")) - (text in (")", "]", "}", ">"))
+        if text == "," and depth == 0:
+            pieces.append([])
+        else:
+            pieces[-1].append(text)
+    return sum(1 for piece in pieces if piece and piece not in (["*"], ["/"], ["void"]))
+
+
+def _indented_spans(tokens: list[Token]) -> list[Span]:
+    """A function ends before the next statement that is indented no deeper than its ``def``."""
+    spans, open_, depth, fresh = [], [], 0, False
+    for i, (text, line, column) in enumerate(tokens + [("", 0, -1)]):
+        if column is not None and (depth == 0 or column < 0):
+            while open_ and column <= open_[-1][1]:
+                (name, start, params, doc), indent = open_.pop()
+                spans.append((name, start, i if text == "end" and column == indent else i - 1, params, doc))
+            if fresh and open_ and text[-3:] in ('"""', "'''"):
+                open_[-1][0][3] = i
+            fresh = False
+            name = i + 1 + (text == "async")
+            if name < len(tokens) and tokens[name - 1][0] == "def":
+                if name + 1 < len(tokens) and tokens[name + 1][0] == "(":
+                    inside = name + 2, _closing(tokens, name + 1)
+                else:  # parameters without parentheses go on to the end of the line
+                    inside = name + 1, next((k for k in range(name, len(tokens)) if tokens[k][1] > line), len(tokens))
+                open_.append(([tokens[name][0], name, _parameters(tokens, *inside), -1], column))
+                fresh = True
+        depth = max(0, depth + (text in ("(", "[", "{")) - (text in (")", "]", "}")))
+    return spans
+
+
+def _braced_spans(tokens: list[Token]) -> list[Span]:
+    """A brace opens a function after a parameter list that follows a name, a declaring word or precedes an arrow."""
+    spans, braces, parens = [], [], []
+    named = group = None  # position of a name before "(", and the last closed (start, end)
+    declared = blocked = False
+    for i, (text, _, column) in enumerate(tokens):
+        before = tokens[i - 1][0] if i else ""
+        if named is not None and group and group[0] == named + 1 and column is not None and text not in BEFORE_BRACE:
+            named = None  # a new line after the list: it was a call
+        if text == "(":
+            name_like = before[:1].isalpha() or before[:1] in ("_", "$")
+            annotated = i > 1 and tokens[i - 2][0] == "@"
+            if not parens and named is None and name_like and not annotated and before not in BLOCKS | DECLARES:
+                named = i - 1
+            parens.append(i)
+        elif text == ")":
+            group = (parens.pop(), i) if parens else None
+        elif text in DECLARES:
+            declared, blocked, named = True, False, None
+        elif text in BLOCKS:
+            blocked = True
+        elif text == "{":
+            opened = None
+            if before == "=>":
+                start = group[0] if group and group[1] == i - 2 else i - 2
+                opened = ANONYMOUS, start, _parameters(tokens, start, i - 1) if tokens[i - 2][0] != ")" else None
+            elif not blocked and not parens and group and named is not None and group[0] >= named + 1:
+                opened = tokens[named][0], named, None
+            elif not blocked and declared and group:
+                opened = ANONYMOUS, group[0], None
+            if opened:
+                name, start, params = opened
+                first = start if name == ANONYMOUS else start + 1
+                if params is None:
+                    params = _parameters(tokens, first + 1, _closing(tokens, first))
+                opened = name, start, params
+            braces.append((opened, parens))
+            parens = []
+        elif text == "}" and braces:
+            opened, parens = braces.pop()
+            if opened:
+                spans.append((opened[0], opened[1], i, opened[2], -1))
+        if text in ("{", "}") or (text == ";" and not parens):
+            named, group, declared, blocked = None, None, False, False
+    return spans
+
+
+def functions_in(extension: str, text: str) -> list[tuple]:
+    """(name, start_line, end_line, nloc, ccn, token, params, length) per function, in source order."""
+    indented = extension in (".py", ".rb")
+    tokens = _tokens(INDENTED if indented else BRACED, text)
+    spans = sorted((_indented_spans if indented else _braced_spans)(tokens), key=lambda s: (s[1], -s[2]))
+    owner = [-1] * len(tokens)
+    for k, (_, first, last, _, _) in enumerate(spans):
+        owner[first:last + 1] = [k] * (last + 1 - first)
+    docstrings = {span[4] for span in spans}
+    lines, ccn, count = [set() for _ in spans], [1] * len(spans), [0] * len(spans)
+    for i, (token, line, _) in enumerate(tokens):
+        k = owner[i]
+        if k >= 0:
+            count[k] += 1
+            ccn[k] += token in DECISIONS
+            if i not in docstrings:
+                lines[k].update(range(line, line + token.count("\n") + 1))
+    rows = []
+    for k, (name, first, last, params, _) in enumerate(spans):
+        start, end = tokens[first][1], tokens[last][1] + tokens[last][0].count("\n")
+        rows.append((name, start, end, len(lines[k]), ccn[k], count[k], params, end - start + 1))
+    return rows

@@ -1,0 +1,5 @@
+"""Nothing stateful lives here: every input of this engine is a finished file, so there is no streaming operator.
+
+The column expressions of ``defectlens.functions`` carry no state and run unchanged on a streaming DataFrame
+(see ``tests/test_streaming_columns.py``).
+"""
