@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(),
+          "TIMESTAMP": T.TimestampType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema of flat columns; unlike Spark's own DDL parser this needs no session."""
+    pairs = (column.split() for column in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-CHANGED_FILES = "ARRAY<STRUCT<added: BIGINT, deleted: BIGINT, file_path: STRING>>"
+CHANGED_FILES = T.ArrayType(_struct("added BIGINT, deleted BIGINT, file_path STRING"))
 
-COMMITS = _struct(
-    "repo_name STRING, commit_hash STRING, date_str STRING, commit_ts TIMESTAMP, subject STRING, "
-    f"files {CHANGED_FILES}"
+COMMITS = _struct("repo_name STRING, commit_hash STRING, date_str STRING, commit_ts TIMESTAMP, subject STRING").add(
+    "files", CHANGED_FILES
 )
 
 FILE_HISTORY = _struct(

@@ -111,3 +111,18 @@ def read_source_files(spark: SparkSession, roots: list[str], base: str | None =
     prefix = base.rstrip("/") + "/"
     relative = F.when(F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 2**31 - 1))
     return files.withColumn("path", F.coalesce(relative, F.col("path")))
+
+
+def write_source_files(files: DataFrame, root: str) -> None:
+    """Write (path, content) as single files under ``root``. A repeated task writes the same files again."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in batch[["path", "content"]].itertuples(index=False):
+                system, inner, _ = _open(f"{root}/{path}")
+                system.create_dir(inner.rsplit("/", 1)[0])
+                with system.open_output_stream(inner) as stream:
+                    stream.write(content.encode("utf-8"))
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    files.mapInPandas(task, "written BIGINT").agg(F.sum("written")).first()
