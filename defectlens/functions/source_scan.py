@@ -148,6 +148,9 @@ def functions_in(extension: str, text: str) -> list[tuple]:
     owner = [-1] * len(tokens)
     for k, (_, first, last, _, _) in enumerate(spans):
         owner[first:last + 1] = [k] * (last + 1 - first)
+        for i in range(first - 1, max(first - 3, -1), -1):
+            if tokens[i][0] in ("def", "async"):
+                owner[i] = -1  # a nested header is no part of the function around it
     docstrings = {span[4] for span in spans}
     lines, ccn, count = [set() for _ in spans], [1] * len(spans), [0] * len(spans)
     for i, (token, line, _) in enumerate(tokens):
