@@ -128,7 +128,9 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))).alias("functions")
     )
     path = "concat('data/repos/repo', f % 3, '/gen/m', f, CASE WHEN f % 4 = 1 THEN '.js' ELSE '.py' END) AS path"
-    return grouped.selectExpr(path, "array_join(transform(functions, x -> x.text), '') AS content")
+    files = grouped.selectExpr(path, "array_join(transform(functions, x -> x.text), '') AS content")
+    # Spread like the files a source tree is read from; adaptive execution would merge them by their small size.
+    return files.repartition(spark.sparkContext.defaultParallelism, "path")
 
 
 # --- questions --------------------------------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def a5(spark, sf_dir):
          CASE WHEN count(*) > count(*) FILTER (WHERE event_id % 13 = 0) THEN 'analyzed' ELSE 'skipped' END AS status
   FROM events GROUP BY ALL""")
 def a6(spark, sf_dir):
-    return H.repo_status(log_blocks(spark, sf_dir))
+    return H.repo_status(H.parse_blocks(log_blocks(spark, sf_dir)))
 
 
 @query("c1_parse_commits", PARSED)
@@ -109,7 +109,7 @@ def f2(spark, sf_dir):
          CAST(sum(commit_file_events) AS BIGINT) AS commit_file_events, CAST(0 AS BIGINT) AS repositories_skipped
   FROM ({REPOS})""")
 def f3(spark, sf_dir):
-    return H.history_run_summary(repositories(spark, sf_dir), H.repo_status(log_blocks(spark, sf_dir)))
+    return H.history_run_summary(repositories(spark, sf_dir), H.repo_status(H.parse_blocks(log_blocks(spark, sf_dir))))
 
 
 @query("i1_union_repositories", with_views(["commit_files"], """

@@ -32,10 +32,13 @@ def col(c: Column | str) -> Column:
 
 def norm_path(c: Column | str) -> Column:
     """One spelling per path: forward slashes, no empty or ``.`` segments, no trailing slash."""
-    path = F.regexp_replace(col(c), r"[\\/]+", "/")
+    given = col(c)
+    path = F.regexp_replace(given, r"[\\/]+", "/")
     path = F.regexp_replace(path, r"(?:/\.)+(/|$)", "$1")
     path = F.regexp_replace(path, r"^(?:\./)+", "")
-    return F.regexp_replace(path, r"(.)/$", "$1")
+    path = F.regexp_replace(path, r"(.)/$", "$1")
+    # One look tells that nearly all paths are in order already.
+    return F.when(given.rlike(r"\\|//|(?:^|/)\.(?:/|$)|/$"), path).otherwise(given)
 
 
 def file_id(repo: Column | str, path: Column | str) -> Column:
@@ -66,7 +69,9 @@ def extension(path: Column | str) -> Column:
 
 
 def is_supported(path: Column | str) -> Column:
-    return extension(path).isin(*LANGUAGES)
+    """One match on one mention of ``path``, because a pushed-down filter repeats what computes the path."""
+    endings = "|".join(ext[1:] for ext in LANGUAGES)
+    return col(path).rlike(rf"(?i)[^/]\.(?:{endings})$")
 
 
 def is_python(path: Column | str) -> Column:

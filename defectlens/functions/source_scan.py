@@ -7,14 +7,21 @@ exact for well-formed Python, the second a best effort. What a nested function h
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 
-STRING = r'"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])*'"
-LONG_STRING = r'"""(?:\\.|[^\\])*?"""' + r"|'''(?:\\.|[^\\])*?'''"
+STRING = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'"
+LONG_STRING = r'"""(?:[^\\"]|\\.|"(?!""))*"""' + r"|'''(?:[^\\']|\\.|'(?!''))*'''"
 WORD = r"\d[\w.]*|[^\W\d]\w*"
 OPERATOR = r"=>|->|\*\*=?|//=?|<<=?|>>=?|\?[.?:]|::|:=|&&|\|\||[-+*/%&|^<>=!]=|\.\.\.?|\S"
-INDENTED = re.compile(rf"[a-zA-Z]{{0,2}}(?:{LONG_STRING}|{STRING})|\#[^\n]*|\\\n|\n|{WORD}|{OPERATOR}", re.S)
-BRACED = re.compile(rf"/\*.*?\*/|//[^\n]*|`(?:\\.|[^`\\])*`|{STRING}|\n|{WORD}|{OPERATOR}", re.S)
-COMMENT = {INDENTED: ("#", "\\\n"), BRACED: ("//", "/*")}
+LINE_END = r"\n[ \t]*"
+# A word that runs into a quote is the prefix of a string.
+INDENTED = re.compile(
+    rf"""[ \t]*({LINE_END}|(?:{WORD})(?!["'\w])|\#[^\n]*|\\\n|[a-zA-Z]{{0,2}}(?:{LONG_STRING}|{STRING})|{OPERATOR})""", re.S
+)
+BRACED = re.compile(
+    rf"[ \t]*({LINE_END}|{WORD}|/\*.*?\*/|//[^\n]*|{STRING}|`(?:[^`\\]|\\.)*`|{OPERATOR})", re.S
+)
 
 # Words and signs that add a path, that open a block which is no function, that declare a function,
 # and that may stand on their own line between a parameter list and its brace.
@@ -28,83 +35,101 @@ BLOCKS = {
 }
 DECLARES = {"func", "function", "fun", "async"}
 BEFORE_BRACE = {"{", "throws", "->", ":", "const", "noexcept", "override", "where"}
+OPENING, CLOSING = {"(", "[", "{"}, {")", "]", "}"}
 ANONYMOUS = "(anonymous)"
 
-Token = tuple[str, int, "int | None"]  # text, line, column if it is the first of its line
 Span = tuple[str, int, int, int, int]  # name, first and last token, parameters, docstring token or -1
 
 
-def _tokens(pattern: re.Pattern, text: str) -> list[Token]:
-    tokens, line, line_start, first = [], 1, 0, True
-    for match in pattern.finditer(text):
-        token = match.group()
-        if token == "\n":
-            line, line_start, first = line + 1, match.end(), True
-            continue
-        if not token.startswith(COMMENT[pattern]):
-            tokens.append((token, line, match.start() - line_start if first else None))
-            first = False
-        line += token.count("\n")
-    return tokens
-
-
-def _closing(tokens: list[Token], start: int) -> int:
-    """Position of the bracket that closes the one at ``start``."""
-    depth = 0
-    for i in range(start, len(tokens)):
-        depth += (tokens[i][0] in ("(", "[", "{")) - (tokens[i][0] in (")", "]", "}"))
-        if depth == 0:
-            return i
-    return len(tokens) - 1
-
-
-def _parameters(tokens: list[Token], start: int, end: int) -> int:
-    """Pieces between the top-level commas, without bare ``*``, ``/`` and ``void``."""
-    depth, pieces = 0, [[]]
-    for text, _, _ in tokens[start:end]:
-        depth += (text in ("(", "[", "{", "<")) - (text in (")", "]", "}", ">"))
-        if text == "," and depth == 0:
-            pieces.append([])
-        else:
-            pieces[-1].append(text)
-    return sum(1 for piece in pieces if piece and piece not in (["*"], ["/"], ["void"]))
-
-
-def _indented_spans(tokens: list[Token]) -> list[Span]:
+@dataclass
+class Tokens:
+    """Tokens without comments: text, first line, and the column of those that start a line, else -1."""
+
+    text: list[str]
+    line: list[int]
+    column: list[int]
+    more_lines: dict[int, int]  # further lines of tokens that span several
+
+    @classmethod
+    def of(cls, pattern: re.Pattern, source: str) -> Tokens:
+        text, lines, columns, more = [], [], [], {}
+        line, column = 1, 0
+        comment = ("#", "\\\n") if pattern is INDENTED else ("//", "/*")
+        for token in pattern.findall("\n" + source):
+            if token[0] == "\n":
+                line, column = line + 1, len(token) - 1
+                continue
+            breaks = token.count("\n") if len(token) > 1 else 0
+            if not token.startswith(comment):
+                if breaks:
+                    more[len(text)] = breaks
+                text.append(token)
+                lines.append(line - 1)
+                columns.append(column)
+                column = -1
+            line += breaks
+        return cls(text, lines, columns, more)
+
+    def closing(self, start: int) -> int:
+        """Position of the bracket that closes the one at ``start``."""
+        depth = 0
+        for i in range(start, len(self.text)):
+            depth += (self.text[i] in OPENING) - (self.text[i] in CLOSING)
+            if depth == 0:
+                return i
+        return len(self.text) - 1
+
+    def parameters(self, start: int, end: int) -> int:
+        """Pieces between the top-level commas, without bare ``*``, ``/`` and ``void``."""
+        depth, pieces = 0, [[]]
+        for text in self.text[start:end]:
+            depth += (text in OPENING or text == "<") - (text in CLOSING or text == ">")
+            if text == "," and depth == 0:
+                pieces.append([])
+            else:
+                pieces[-1].append(text)
+        return sum(1 for piece in pieces if piece and piece not in (["*"], ["/"], ["void"]))
+
+
+def _indented_spans(tokens: Tokens) -> list[Span]:
     """A function ends before the next statement that is indented no deeper than its ``def``."""
-    spans, open_, depth, fresh = [], [], 0, False
-    for i, (text, line, column) in enumerate(tokens + [("", 0, -1)]):
-        if column is not None and (depth == 0 or column < 0):
+    texts, spans, open_, depth, fresh = tokens.text, [], [], 0, False
+    for i, (text, column) in enumerate(zip(texts, tokens.column)):
+        if column >= 0 and depth == 0:
             while open_ and column <= open_[-1][1]:
                 (name, start, params, doc), indent = open_.pop()
                 spans.append((name, start, i if text == "end" and column == indent else i - 1, params, doc))
-            if fresh and open_ and text[-3:] in ('"""', "'''"):
+            if fresh and open_ and text.endswith(('"""', "'''")):
                 open_[-1][0][3] = i
             fresh = False
             name = i + 1 + (text == "async")
-            if name < len(tokens) and tokens[name - 1][0] == "def":
-                if name + 1 < len(tokens) and tokens[name + 1][0] == "(":
-                    inside = name + 2, _closing(tokens, name + 1)
+            if name < len(texts) and texts[name - 1] == "def":
+                if name + 1 < len(texts) and texts[name + 1] == "(":
+                    inside = name + 2, tokens.closing(name + 1)
                 else:  # parameters without parentheses go on to the end of the line
-                    inside = name + 1, next((k for k in range(name, len(tokens)) if tokens[k][1] > line), len(tokens))
-                open_.append(([tokens[name][0], name, _parameters(tokens, *inside), -1], column))
+                    here = tokens.line[i]
+                    inside = name + 1, next((k for k in range(name, len(texts)) if tokens.line[k] > here), len(texts))
+                open_.append(([texts[name], name, tokens.parameters(*inside), -1], column))
                 fresh = True
-        depth = max(0, depth + (text in ("(", "[", "{")) - (text in (")", "]", "}")))
-    return spans
+        if text in OPENING:
+            depth += 1
+        elif text in CLOSING and depth:
+            depth -= 1
+    return spans + [(name, start, len(texts) - 1, params, doc) for (name, start, params, doc), _ in open_]
 
 
-def _braced_spans(tokens: list[Token]) -> list[Span]:
+def _braced_spans(tokens: Tokens) -> list[Span]:
     """A brace opens a function after a parameter list that follows a name, a declaring word or precedes an arrow."""
-    spans, braces, parens = [], [], []
+    texts, spans, braces, parens = tokens.text, [], [], []
     named = group = None  # position of a name before "(", and the last closed (start, end)
     declared = blocked = False
-    for i, (text, _, column) in enumerate(tokens):
-        before = tokens[i - 1][0] if i else ""
-        if named is not None and group and group[0] == named + 1 and column is not None and text not in BEFORE_BRACE:
+    for i, (text, column) in enumerate(zip(texts, tokens.column)):
+        if column >= 0 and named is not None and group and group[0] == named + 1 and text not in BEFORE_BRACE:
             named = None  # a new line after the list: it was a call
         if text == "(":
+            before = texts[i - 1] if i else ""
             name_like = before[:1].isalpha() or before[:1] in ("_", "$")
-            annotated = i > 1 and tokens[i - 2][0] == "@"
+            annotated = i > 1 and texts[i - 2] == "@"
             if not parens and named is None and name_like and not annotated and before not in BLOCKS | DECLARES:
                 named = i - 1
             parens.append(i)
@@ -116,52 +141,50 @@ def _braced_spans(tokens: list[Token]) -> list[Span]:
             blocked = True
         elif text == "{":
             opened = None
-            if before == "=>":
-                start = group[0] if group and group[1] == i - 2 else i - 2
-                opened = ANONYMOUS, start, _parameters(tokens, start, i - 1) if tokens[i - 2][0] != ")" else None
-            elif not blocked and not parens and group and named is not None and group[0] >= named + 1:
-                opened = tokens[named][0], named, None
+            if i > 1 and texts[i - 1] == "=>":
+                if group and group[1] == i - 2:
+                    opened = ANONYMOUS, group[0], group[0]
+                else:  # a single bare parameter
+                    opened = ANONYMOUS, i - 2, None
+            elif not blocked and not parens and group and named is not None and group[0] > named:
+                opened = texts[named], named, named + 1
             elif not blocked and declared and group:
-                opened = ANONYMOUS, group[0], None
-            if opened:
-                name, start, params = opened
-                first = start if name == ANONYMOUS else start + 1
-                if params is None:
-                    params = _parameters(tokens, first + 1, _closing(tokens, first))
-                opened = name, start, params
+                opened = ANONYMOUS, group[0], group[0]
             braces.append((opened, parens))
             parens = []
         elif text == "}" and braces:
             opened, parens = braces.pop()
             if opened:
-                spans.append((opened[0], opened[1], i, opened[2], -1))
+                name, first, bracket = opened
+                params = 1 if bracket is None else tokens.parameters(bracket + 1, tokens.closing(bracket))
+                spans.append((name, first, i, params, -1))
         if text in ("{", "}") or (text == ";" and not parens):
             named, group, declared, blocked = None, None, False, False
     return spans
 
 
-def functions_in(extension: str, text: str) -> list[tuple]:
+def functions_in(extension: str, source: str) -> list[tuple]:
     """(name, start_line, end_line, nloc, ccn, token, params, length) per function, in source order."""
     indented = extension in (".py", ".rb")
-    tokens = _tokens(INDENTED if indented else BRACED, text)
+    tokens = Tokens.of(INDENTED if indented else BRACED, source)
     spans = sorted((_indented_spans if indented else _braced_spans)(tokens), key=lambda s: (s[1], -s[2]))
-    owner = [-1] * len(tokens)
+    owner = [-1] * len(tokens.text)
     for k, (_, first, last, _, _) in enumerate(spans):
         owner[first:last + 1] = [k] * (last + 1 - first)
         for i in range(first - 1, max(first - 3, -1), -1):
-            if tokens[i][0] in ("def", "async"):
+            if tokens.text[i] in ("def", "async"):
                 owner[i] = -1  # a nested header is no part of the function around it
-    docstrings = {span[4] for span in spans}
-    lines, ccn, count = [set() for _ in spans], [1] * len(spans), [0] * len(spans)
-    for i, (token, line, _) in enumerate(tokens):
-        k = owner[i]
-        if k >= 0:
-            count[k] += 1
-            ccn[k] += token in DECISIONS
-            if i not in docstrings:
-                lines[k].update(range(line, line + token.count("\n") + 1))
+    count = Counter(owner)
+    paths = Counter(k for k, text in zip(owner, tokens.text) if text in DECISIONS)
+    docstrings = {span[4] for span in spans if span[4] >= 0}
+    for i in docstrings:
+        owner[i] = -1  # counted as a token, not as code lines
+    held = set(zip(owner, tokens.line))
+    for i, breaks in tokens.more_lines.items():
+        held.update((owner[i], tokens.line[i] + b) for b in range(1, breaks + 1))
+    nloc = Counter(k for k, _ in held)
     rows = []
     for k, (name, first, last, params, _) in enumerate(spans):
-        start, end = tokens[first][1], tokens[last][1] + tokens[last][0].count("\n")
-        rows.append((name, start, end, len(lines[k]), ccn[k], count[k], params, end - start + 1))
+        start, end = tokens.line[first], tokens.line[last] + tokens.more_lines.get(last, 0)
+        rows.append((name, start, end, nloc[k], 1 + paths[k], count[k], params, end - start + 1))
     return rows

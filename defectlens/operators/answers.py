@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from defectlens.functions.paths import language
 from defectlens.functions.questions import route_question
 from defectlens.operators.ranking import label_heads
-from defectlens.operators.skew import MAX_GROUP_ROWS, join_lookup
+from defectlens.operators.skew import MAX_GROUP_ROWS, hot_keys, join_lookup
 
 LISTED = 10  # functions named in an answer about a risk group
 TOP = 5  # functions named in a top answer and in a prompt
@@ -127,14 +127,15 @@ def build_prompts(
     questions: DataFrame, ranked: DataFrame, files: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """``questions`` with a ``prompt`` for every free-form one whose file has code; ``files`` is (path, content)."""
-    free = join_lookup(questions, file_digest(ranked), "file", max_group_rows)
+    hot = hot_keys(questions, "file", max_group_rows)
+    free = join_lookup(questions, file_digest(ranked), "file", max_group_rows, hot)
     free = free.where(route_question("message", F.col("functions_in_file").isNotNull()) == "free")
     free = free.select(*questions.columns, "summary_lines")
     # Only the part that is shown travels through the join.
     code = files.where(F.trim("content") != "").select(
         F.col("path").alias("file"), F.substring("content", 1, PROMPT_CODE_CHARS).alias("_code")
     )
-    joined = join_lookup(free, code, "file", max_group_rows).where(F.col("_code").isNotNull())
+    joined = join_lookup(free, code, "file", max_group_rows, hot).where(F.col("_code").isNotNull())
     prompt = text(
         "You are a friendly code reviewer.\n\n"
         "The user uploaded this file:\nFile name: {file}\nLanguage: {language}\n\n"

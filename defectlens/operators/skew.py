@@ -101,15 +101,16 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> dict:
 
 
 def join_lookup(
-    left: DataFrame, right: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS
+    left: DataFrame, right: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS, hot: dict | None = None
 ) -> DataFrame:
     """Left join to ``right``, which holds each key once.
 
     The sides are not hinted: adaptive execution broadcasts ``right`` if its measured size allows. Keys that hold too
     many rows of ``left`` are spread over salts, and only their rows of ``right`` are repeated. The salt is a
-    hash of the row, so that a retried task places the row where it was before.
+    hash of the row, so that a retried task places the row where it was before. ``hot`` saves counting the keys again.
     """
-    hot = hot_keys(left, key, max_group_rows)
+    if hot is None:
+        hot = hot_keys(left, key, max_group_rows)
     if not hot:
         return left.join(right, key, "left")
     salts = min(MAX_SALTS, math.ceil(max(hot.values()) / max_group_rows))
@@ -122,20 +123,30 @@ def join_lookup(
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
-def kth_smallest_hex(df: DataFrame, name: str, k: int, rows: int, small: int = DRIVER_ROWS) -> str:
-    """The ``k``-th smallest (from 1) of ``rows`` hex digests in column ``name``; ``""`` for ``k`` = 0.
+def hex_histogram(df: DataFrame, name: str, digits: int = PREFIX_DIGITS) -> list[tuple[str, int]]:
+    """Rows per prefix of a column of hex digests, in order."""
+    prefix = F.substring(name, 1, digits).alias("prefix")
+    return sorted((r["prefix"], r["n"]) for r in df.groupBy(prefix).agg(F.count(F.lit(1)).alias("n")).collect())
 
-    Narrows down by digest prefix, so no task sorts and no driver sees more than ``small`` or 4,096 rows.
+
+def kth_smallest_hex(
+    df: DataFrame, name: str, ranks: list[int], histogram: list[tuple[str, int]], small: int = DRIVER_ROWS
+) -> dict[int, str]:
+    """The digests at ``ranks`` (from 1; rank 0 gives ``""``) of column ``name``, whose ``histogram`` is given.
+
+    Narrows down by digest prefix, so no task sorts and no driver sees more than ``small`` or 4,096 rows per rank.
     """
-    if k <= 0:
-        return ""
-    prefix, rest = "", df.select(name)
-    while rows > small and len(prefix) < 30:
-        length = len(prefix) + PREFIX_DIGITS
-        buckets = rest.groupBy(F.substring(name, 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for prefix, rows in sorted((b["p"], b["n"]) for b in buckets):
-            if k <= rows:
-                break  # the k-th is in this bucket
-            k -= rows
-        rest = df.select(name).where(F.col(name).startswith(prefix))
-    return rest.orderBy(name).offset(k - 1).limit(1).first()[0]
+    found = {rank: "" for rank in ranks if rank <= 0}
+    for rank in set(ranks) - set(found):
+        left, buckets, rest = rank, histogram, df.select(name)
+        while True:
+            for prefix, rows in buckets:
+                if left <= rows:
+                    break  # it is in this bucket
+                left -= rows
+            rest = rest.where(F.col(name).startswith(prefix))
+            if rows <= small or len(prefix) == 30:
+                break
+            buckets = hex_histogram(rest, name, len(prefix) + PREFIX_DIGITS)
+        found[rank] = rest.orderBy(name).offset(left - 1).limit(1).first()[0]
+    return found

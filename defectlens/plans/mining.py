@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from defectlens.operators.history import (
-    commit_files, file_history, history_run_summary, parse_commits, repo_status, repo_summary,
+    commit_files, commits_of, file_history, history_run_summary, parse_blocks, repo_status, repo_summary,
 )
 from defectlens.schemas import FILE_HISTORY
+from defectlens.session import materialize
 from defectlens.sources.tables import write_json, write_table
 
 
@@ -23,9 +24,11 @@ class MinedHistory:
 
 
 def mine_history(logs: DataFrame, as_of: Column | dt.datetime | str) -> MinedHistory:
-    commits = parse_commits(logs)
+    """Parses the logs once, into a written table that all results are made from."""
+    blocks = materialize(parse_blocks(logs), "commit_blocks")
+    commits = commits_of(blocks)
     history = file_history(commit_files(commits), as_of)
-    repositories, status = repo_summary(commits, history), repo_status(logs)
+    repositories, status = repo_summary(commits, history), repo_status(blocks)
     return MinedHistory(history, repositories, status, history_run_summary(repositories, status))
 
 

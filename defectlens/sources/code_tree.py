@@ -27,6 +27,9 @@ log = logging.getLogger(__name__)
 
 def _open(path: str) -> tuple[fs.FileSystem, str, str]:
     """File system, path on it, and what to put in front of its paths to get ours."""
+    if path.startswith("file:"):  # Hadoop writes file:/x for what others call file:///x
+        inner = "/" + path.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem(), inner, path[: len(path) - len(inner)]
     if "://" not in path:
         return fs.LocalFileSystem(), path, ""
     system, inner = fs.FileSystem.from_uri(path)

@@ -144,5 +144,6 @@ def test_source_tree(spark, tmp_path):
     got = {r["path"]: r["content"] for r in read_source_files(spark, roots, base=str(tmp_path)).collect()}
     assert got == {"r/__init__.py": "a", "r/__tests__/b.py": "b\nb", "r/E.PY": "c", "r/.hid/c.py": "d",
                    "r/deep/1/2/3/4/x.go": "e", "r/bad.c": ""}
-    by_uri = read_source_files(spark, [f"file://{tmp_path}/r/deep"])
-    assert [r["path"] for r in by_uri.collect()] == [f"file://{tmp_path}/r/deep/1/2/3/4/x.go"]
+    for scheme in ("file://", "file:"):
+        by_uri = read_source_files(spark, [f"{scheme}{tmp_path}/r/deep/"])
+        assert [r["path"] for r in by_uri.collect()] == [f"{scheme}{tmp_path}/r/deep/1/2/3/4/x.go"]

@@ -48,7 +48,7 @@ def test_parse(logs):
 
 
 def test_status(logs):
-    rows = {r["repo_name"]: r for r in H.repo_status(logs).collect()}
+    rows = {r["repo_name"]: r for r in H.repo_status(H.parse_blocks(logs)).collect()}
     assert (rows["one"]["blocks"], rows["one"]["bad_blocks"], rows["one"]["status"]) == (5, 1, "analyzed")
     assert rows["two.v2"]["status"] == "skipped"
 

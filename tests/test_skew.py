@@ -59,8 +59,12 @@ def test_salted_join_spreads_the_hot_key(spark, rows):
     assert "_salt" in plan
 
 
-@pytest.mark.parametrize("k", [0, 1, 17, 700, 1200])
-def test_kth_smallest_hex(rows, k):
+@pytest.mark.parametrize("small", [1, 5, 50_000])
+def test_kth_smallest_hex(rows, small):
     digests = rows.select(F.md5(F.col("id").cast("string")).alias("d"))
     want = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(1200))
-    assert skew.kth_smallest_hex(digests, "d", k, 1200, small=5) == (want[k - 1] if k else "")
+    ranks = [0, 1, 17, 700, 1200]
+    histogram = skew.hex_histogram(digests, "d", 1)
+    assert sum(n for _, n in histogram) == 1200
+    got = skew.kth_smallest_hex(digests, "d", ranks, histogram, small)
+    assert got == {k: want[k - 1] if k else "" for k in ranks}
