@@ -102,7 +102,8 @@ _QUALITY = f"""
          CAST(n AS BIGINT) AS fp_total, {r6("precision")} AS precision, {r6("recall")} AS recall,
          {r6("f1_score")} AS f1_score, {r6("accuracy")} AS accuracy FROM ({_QUALITY})"""))
 def g7(spark, sf_dir):
-    return _rounded(V.pr_curve(scored(spark, sf_dir)), "precision", "recall", "f1_score", "accuracy")
+    curve = V.pr_curve(scored(spark, sf_dir)).drop("pos", "neg")
+    return _rounded(curve, "precision", "recall", "f1_score", "accuracy")
 
 
 @query("g8_best_threshold", with_views(["counts"], f"""
@@ -114,3 +115,14 @@ def g7(spark, sf_dir):
 def g8(spark, sf_dir):
     best = V.best_threshold(scored(spark, sf_dir))
     return _rounded(best, "precision", "recall", "f1_score", "accuracy")
+
+
+@query("f10_evaluate_scores", with_views(["curve"], f"""
+  SELECT CAST({THRESHOLD} AS DOUBLE) AS threshold, tn, fp, fn, tp, {r6("tp / (tp + fp)")} AS precision,
+         {r6("tp / (tp + fn)")} AS recall, {r6("2 * tp / (2 * tp + fp + fn)")} AS f1_score,
+         {r6("(tp + tn) / (tp + fp + fn + tn)")} AS accuracy, roc_auc, 'given' AS selection_rule
+  FROM ({_CONFUSION}) CROSS JOIN (
+    SELECT {r6("sum(pos * (2 * (n - fp) + neg)) / (2.0 * any_value(p) * any_value(n))")} AS roc_auc FROM curve)"""))
+def f10_all(spark, sf_dir):
+    row = V.evaluate_scores(scored(spark, sf_dir), THRESHOLD)
+    return _rounded(row, "precision", "recall", "f1_score", "accuracy", "roc_auc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from defectlens.functions.numbers import clean_value, coerce_numeric, numeric
-from defectlens.operators.evaluate import best_threshold, classification_metrics, roc_auc, roc_curve
+from defectlens.operators.evaluate import classification_report, evaluate_scores, roc_auc, roc_curve
 from defectlens.operators.features import (
     class_counts, labeled_rows, merge_history, require_two_classes, with_group,
 )
@@ -69,6 +69,11 @@ def weighted(df: DataFrame, counts: dict[int, int], label: str = LABEL) -> DataF
     return df.withColumn("weight", weight)
 
 
+def spread(df: DataFrame, key: str = "function_id") -> DataFrame:
+    """Even partitions for the many passes of training; selected rows lie unevenly where repositories lie together."""
+    return df.repartition(key) if key in df.columns else df
+
+
 def train_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings()) -> PipelineModel:
     """``train`` needs the features, a 0/1 ``bug_label`` and ``weight``."""
     forest = RandomForestClassifier(
@@ -135,12 +140,6 @@ def prediction_rows_short(scored: DataFrame) -> DataFrame:
     ])
 
 
-def evaluate_scored(scored: DataFrame, threshold: float) -> dict:
-    """Metrics at ``threshold`` and the AUC, as plain values."""
-    metrics = classification_metrics(scored, threshold).first().asDict()
-    return metrics | {"roc_auc": roc_auc(scored).first()["roc_auc"]}
-
-
 def train_feature_set(
     df: DataFrame, name: str, features: list[str], settings: ForestSettings = ForestSettings(), seed: int = 42
 ) -> TrainedSet:
@@ -148,7 +147,8 @@ def train_feature_set(
     data = coerce_numeric(df, features)
     labeled = with_group(labeled_rows(data))
     require_two_classes(labeled)
-    sides = group_split(labeled, seed=seed).select(*features, LABEL, "split").persist(StorageLevel.MEMORY_AND_DISK)
+    sides = spread(group_split(labeled, seed=seed)).select(*features, LABEL, "split")
+    sides = sides.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = sides.where(F.col("split") == "train")
         train = weighted(train, require_two_classes(train))
@@ -182,10 +182,17 @@ def _tune(model: PipelineModel, sides: DataFrame, features: list[str]) -> dict:
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         validation, test = (scored.where(F.col("split") == side) for side in ("validation", "test"))
-        chosen = best_threshold(validation).first().asDict()
-        threshold = chosen["threshold"]
-        tuned = evaluate_scored(validation, threshold) | {"selection_rule": chosen["selection_rule"]}
-        return {"threshold": threshold, "validation": tuned, "test": evaluate_scored(test, threshold)}
+        tuned = evaluate_scores(validation).first().asDict()
+        threshold = tuned["threshold"]
+        sides_scored = {"validation": validation, "test": test}
+        return {
+            "threshold": threshold,
+            "validation": tuned,
+            "test": evaluate_scores(test, threshold).first().asDict(),
+            # Tables of any length are made only when they are asked for.
+            "curves": {side: partial(roc_curve, rows, drop_intermediate=True) for side, rows in sides_scored.items()},
+            "reports": {side: partial(classification_report, rows, threshold) for side, rows in sides_scored.items()},
+        }
     finally:
         scored.unpersist()
 
@@ -208,6 +215,17 @@ def metrics_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
     )
 
 
+def side_tables(trained: list[TrainedSet], kind: str) -> DataFrame:
+    """The ROC ``curves`` or the class ``reports`` of all feature sets, models and sides in one table."""
+    parts = [
+        make().select(F.lit(each.name).alias("feature_set"), F.lit(model).alias("model_name"), F.lit(side).alias("split"), "*")
+        for each in trained
+        for model, result in each.results.items()
+        for side, make in result[kind].items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_training(
     functions: DataFrame, history: DataFrame | None, settings: ForestSettings = ForestSettings(), seed: int = 42
 ) -> tuple[DataFrame, dict[str, TrainedSet]]:
@@ -229,12 +247,15 @@ def write_training(merged: DataFrame, trained: dict[str, TrainedSet], folder: st
         save_model(merged.sparkSession, each, f"{folder}/{each.name}_model")
         write_json(predict_all(merged, each), f"{folder}/{each.name}_predictions")
     save_model(merged.sparkSession, trained["static_only"], f"{folder}/bug_model")
-    write_json(metrics_table(merged.sparkSession, list(trained.values())), f"{folder}/training_summary")
+    sets = list(trained.values())
+    write_json(metrics_table(merged.sparkSession, sets), f"{folder}/training_summary")
+    for kind in ("curves", "reports"):
+        write_json(side_tables(sets, kind), f"{folder}/{kind}")
 
 
 def train_and_score_all(df: DataFrame, settings: ForestSettings = ForestSettings(trees=100, min_leaf=1)) -> DataFrame:
     """Train a forest on all labelled rows and score every row; the result keeps the values as they were given."""
-    labeled = labeled_rows(coerce_numeric(df, BASIC_FEATURES))
+    labeled = spread(labeled_rows(coerce_numeric(df, BASIC_FEATURES)))
     counts = require_two_classes(labeled)
     model = train_forest(weighted(labeled, counts), BASIC_FEATURES, settings)
     return prediction_rows_short(score(model, df, BASIC_FEATURES, 0.5))
@@ -245,7 +266,7 @@ def roc_experiment(
 ) -> tuple[DataFrame, DataFrame]:
     """ROC curve and AUC of a forest on the stratified test rows among the completely known ones."""
     sides = stratified_split(labeled_rows(df, ROC_FEATURES), seed=seed)
-    train = sides.where(F.col("split") == "train")
+    train = spread(sides.where(F.col("split") == "train"))
     model = train_forest(weighted(train, class_counts(train)), ROC_FEATURES, settings)
     test = score(model, sides.where(F.col("split") == "test"), ROC_FEATURES, 0.5)
     return roc_curve(test), roc_auc(test)

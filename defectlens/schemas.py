@@ -38,7 +38,7 @@ FUNCTION_METRICS = _struct(
     "bug_label STRING"
 )
 
-PILOT_METRICS = _struct(
+BASIC_METRICS = _struct(
     "file STRING, function STRING, start_line STRING, end_line STRING, nloc STRING, ccn STRING, token STRING, "
     "params STRING, length STRING, radon_grade STRING, radon_cc STRING, bug_label STRING"
 )

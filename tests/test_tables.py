@@ -1,6 +1,6 @@
 import pytest
 
-from defectlens.schemas import FUNCTION_METRICS, PILOT_METRICS
+from defectlens.schemas import FUNCTION_METRICS, BASIC_METRICS
 from defectlens.operators import labelling as D
 from defectlens.sources import tables
 
@@ -47,13 +47,13 @@ def test_json_writes_missing_as_null(spark, tmp_path):
     assert text.strip() == '{"a":1,"b":null,"c":null}'
 
 
-# Complexity histogram of the published pilot table.
-PILOT = {1: 11, 2: 18, 3: 24, 4: 12, 5: 12, 6: 10, 7: 3, 8: 6, 11: 2, 12: 1}
+# Complexity histogram of the published metrics table.
+HISTOGRAM = {1: 11, 2: 18, 3: 24, 4: 12, 5: 12, 6: 10, 7: 3, 8: 6, 11: 2, 12: 1}
 
 
-def test_pilot_table(spark):
-    rows = [("repos", f"f{c}_{i}", "1", "", "", str(c), "", "", "", "", str(c), "") for c, n in PILOT.items() for i in range(n)]
-    df = spark.createDataFrame(rows, PILOT_METRICS)
+def test_published_metrics_table(spark):
+    rows = [("repos", f"f{c}_{i}", "1", "", "", str(c), "", "", "", "", str(c), "") for c, n in HISTOGRAM.items() for i in range(n)]
+    df = spark.createDataFrame(rows, BASIC_METRICS)
     rule = {r["bug_label"]: r["n"] for r in D.value_counts(D.apply_rule_label(df), "bug_label").collect()}
     assert rule == {"0": 29, "1": 9, "": 61}
     threshold = {r["bug_label"]: r["n"] for r in D.value_counts(D.apply_threshold_label(df), "bug_label").collect()}

@@ -63,11 +63,11 @@ def test_guards(spark, table):
         E.require_two_classes(table.select(F.lit(7).alias("bug_label")))
 
 
-def test_pilot_rows_without_metrics_are_not_trained_on(spark):
-    pilot = spark.createDataFrame([("repos", "m", "", "1", "", "", "1", "")],
+def test_rows_without_metrics_are_not_trained_on(spark):
+    bare = spark.createDataFrame([("repos", "m", "", "1", "", "", "1", "")],
                                   "file string, function string, nloc string, ccn string, params string, length string, "
                                   "radon_cc string, bug_label string")
-    assert E.labeled_rows(pilot, ["nloc", "ccn", "params", "length", "radon_cc"]).count() == 0
+    assert E.labeled_rows(bare, ["nloc", "ccn", "params", "length", "radon_cc"]).count() == 0
 
 
 def test_merge_keeps_all_functions_and_prefers_history_labels(spark):
@@ -132,6 +132,11 @@ def test_run_store_load_and_score(spark, table, tmp_path):
     T.write_training(merged, trained, folder)
     predictions = spark.read.json(f"{folder}/combined_predictions")
     assert set(predictions.columns) == set(PREDICTION_COLUMNS) and predictions.count() == table.count()
+    assert spark.read.json(f"{folder}/training_summary").count() == 8
+    reports = spark.read.json(f"{folder}/reports").groupBy("feature_set", "model_name", "split").count()
+    assert {r["count"] for r in reports.collect()} == {5} and reports.count() == 8
+    ends = spark.read.json(f"{folder}/curves").groupBy("feature_set", "model_name", "split").agg(F.max("fpr"), F.max("tpr"))
+    assert {tuple(r)[3:] for r in ends.collect()} == {(1.0, 1.0)} and ends.count() == 8
     model, features, threshold, message = T.load_best_model(spark, folder)
     assert features == STATIC_FEATURES and threshold == trained["static_only"].threshold and message == "Model ready"
     assert T.load_best_model(spark, folder, with_history=True)[1] == COMBINED_FEATURES
