@@ -258,11 +258,24 @@ def merged(spark, sf_dir):
 _LABEL_TEXT = "CASE label WHEN 1 THEN '1' WHEN 0 THEN '0' ELSE 'none' END"
 
 
-@query("e1_merge_history", with_views(["functions", "file_history"], f"""
+_MERGED_COLUMNS = with_views(["functions", "file_history"], f"""
   SELECT function_id, {_LABEL_TEXT} AS label, commit_count, total_churn, late_night_ratio, burstiness_score,
-         days_since_last_change FROM ({_MERGED})"""))
+         days_since_last_change FROM ({_MERGED})""")
+
+
+@query("e1_merge_history", _MERGED_COLUMNS)
 def e1(spark, sf_dir):
-    filled = merged(spark, sf_dir).na.fill(0, HISTORY_FEATURES)
+    return _merged_columns(merged(spark, sf_dir))
+
+
+@query("e1_merge_history_salted", _MERGED_COLUMNS)
+def e1_salted(spark, sf_dir):
+    """The plan for files too hot for one task, forced by a small bound."""
+    return _merged_columns(E.merge_history(functions(spark, sf_dir), history(spark, sf_dir), max_group_rows=10))
+
+
+def _merged_columns(table):
+    filled = table.na.fill(0, HISTORY_FEATURES)
     label = F.coalesce(F.col("bug_label").cast("int").cast("string"), F.lit("none"))
     return filled.select("function_id", label.alias("label"), "commit_count", "total_churn", "late_night_ratio",
                          "burstiness_score", "days_since_last_change")

@@ -21,13 +21,14 @@ NO_RANKED = "No ranked functions available."
 
 
 def text(template: str, **values: Column | str) -> Column:
-    """Fill ``{name}`` places of a template with columns."""
+    """Fill ``{name}`` places of a template with columns; a missing value reads None."""
     parts, rest = [], template
     while "{" in rest:
         before, rest = rest.split("{", 1)
         name, rest = rest.split("}", 1)
         value = values[name]
-        parts += [F.lit(before), (F.col(value) if isinstance(value, str) else value).cast("string")]
+        shown = (F.col(value) if isinstance(value, str) else value).cast("string")
+        parts += [F.lit(before), F.coalesce(shown, F.lit("None"))]
     return F.concat(*parts, F.lit(rest))
 
 
@@ -132,7 +133,7 @@ def build_prompts(
     free = free.where(route_question("message", F.col("functions_in_file").isNotNull()) == "free")
     free = free.select(*questions.columns, "summary_lines")
     # Only the part that is shown travels through the join.
-    code = files.where(F.trim("content") != "").select(
+    code = files.where(F.col("content").rlike(r"\S")).select(
         F.col("path").alias("file"), F.substring("content", 1, PROMPT_CODE_CHARS).alias("_code")
     )
     joined = join_lookup(free, code, "file", max_group_rows, hot).where(F.col("_code").isNotNull())

@@ -94,8 +94,8 @@ def _sliced_prefix_sums(
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> dict:
-    """Up to ``MAX_HOT_KEYS`` non-null keys with more than ``min_rows`` rows, and their row counts."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    """Up to ``MAX_HOT_KEYS`` keys, null among them, with more than ``min_rows`` rows, and their row counts."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") > min_rows).orderBy(F.col("n").desc(), key).limit(MAX_HOT_KEYS).collect()
     return {row[0]: row["n"] for row in hot}
 
@@ -116,7 +116,7 @@ def join_lookup(
     salts = min(MAX_SALTS, math.ceil(max(hot.values()) / max_group_rows))
     hashable = [f.name for f in left.schema if not isinstance(f.dataType, T.MapType)]
     spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    is_hot = F.col(key).isin(*hot)
+    is_hot = F.col(key).isin(*[value for value in hot if value is not None])  # null rows match nothing, wherever they go
     salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))

@@ -40,9 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), f"defectlens-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), f"defectlens-{spark.sparkContext.applicationId}")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

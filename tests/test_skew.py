@@ -68,3 +68,26 @@ def test_kth_smallest_hex(rows, small):
     assert sum(n for _, n in histogram) == 1200
     got = skew.kth_smallest_hex(digests, "d", ranks, histogram, small)
     assert got == {k: want[k - 1] if k else "" for k in ranks}
+
+
+def test_null_keys_are_spread_too(spark):
+    left = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' END AS g")
+    lookup = spark.createDataFrame([("a", 1), (None, 2)], "g string, v int")
+    assert skew.hot_keys(left, "g", 150) == {None: 200}
+    got = skew.join_lookup(left, lookup, "g", max_group_rows=150)
+    assert sorted(map(tuple, got.select("id", "v").collect())) == [(i, 1 if i % 3 == 0 else None) for i in range(300)]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from defectlens.session import shared_folder
+
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder),
+                               sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert shared_folder(session("hdfs:///x/", "yarn")) == "hdfs:///x"
+    assert shared_folder(session(None, "local[2]")).endswith("defectlens-app")
+    with pytest.raises(ValueError):
+        shared_folder(session(None, "yarn"))
