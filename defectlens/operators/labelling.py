@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from defectlens.functions.labels import rule_label, threshold_label
 from defectlens.functions.numbers import complexity_grade, numeric, to_int_trunc
+from defectlens.operators.features import require_columns
 
 
 def _truncated(df: DataFrame, name: str):
@@ -34,6 +35,7 @@ def apply_rule_label(df: DataFrame, grade: str = "from_cc", outcome: str | None
 
 def apply_threshold_label(df: DataFrame) -> DataFrame:
     """Overwrite ``bug_label`` with 0 or 1; metrics that are not numbers reach no threshold."""
+    require_columns(df, ["nloc", "ccn", "params", "length"])
     return df.withColumn("bug_label", threshold_label(*(numeric(df, c) for c in ("ccn", "nloc", "params", "length"))))
 
 

@@ -20,6 +20,11 @@ PREFIX_DIGITS = 3  # hex digits per refinement step: 4,096 buckets
 DRIVER_ROWS = 50_000  # digests that may be sorted for one pick
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; maps, which Spark does not hash, are left out."""
+    return F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)])
+
+
 def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
     """Rows of the largest group and rows in all."""
     if not by:
@@ -62,11 +67,12 @@ def _sums(measures: dict[str, Column], group: Window, order: list[Column]) -> di
 def _sliced_prefix_sums(
     df: DataFrame, by: list[str], order: list[Column], measures: dict[str, Column], slices: int
 ) -> DataFrame:
-    # The slice number depends on sampled range bounds, so it is written down before two plans read it.
-    keys = [F.col(c).asc() for c in by]
-    placed = materialize(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
+    # The slice number depends on sampled range bounds, so it is written down before two plans read it. The hash of
+    # the row comes last, so that many rows with equal keys can be cut apart, at the same place in a retried task.
+    order = [*order, F.col("_row")]
+    keyed = df.withColumn("_row", row_hash(df))
+    placed = keyed.repartitionByRange(slices, *[F.col(c).asc() for c in by], *order)
+    placed = materialize(placed.withColumn("_slice", F.spark_partition_id()), "slices")
     local = placed.withColumns(_sums(measures, Window.partitionBy("_slice", *by), order))
 
     pieces = placed.groupBy("_slice", *by).agg(*[F.sum(v).alias(f"_{n}") for n, v in measures.items()])
@@ -90,7 +96,7 @@ def _sliced_prefix_sums(
     for name in measures:
         final[name] = F.col(name) + F.coalesce(F.col(f"_{name}_before"), F.lit(0))
         final[f"{name}_total"] = F.coalesce(F.col(f"_{name}_all"), F.col(f"{name}_total"))
-    return out.withColumns(final).drop("_slice", *carry.columns)
+    return out.withColumns(final).drop("_slice", "_row", *carry.columns)
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> dict:
@@ -114,8 +120,7 @@ def join_lookup(
     if not hot:
         return left.join(right, key, "left")
     salts = min(MAX_SALTS, math.ceil(max(hot.values()) / max_group_rows))
-    hashable = [f.name for f in left.schema if not isinstance(f.dataType, T.MapType)]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+    spread = F.pmod(row_hash(left), F.lit(salts)).cast("int")
     is_hot = F.col(key).isin(*[value for value in hot if value is not None])  # null rows match nothing, wherever they go
     salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -69,9 +69,9 @@ def weighted(df: DataFrame, counts: dict[int, int], label: str = LABEL) -> DataF
     return df.withColumn("weight", weight)
 
 
-def spread(df: DataFrame, key: str = "function_id") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Even partitions for the many passes of training; selected rows lie unevenly where repositories lie together."""
-    return df.repartition(key) if key in df.columns else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def train_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings()) -> PipelineModel:
@@ -215,6 +215,27 @@ def metrics_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
     )
 
 
+def run_table(spark: SparkSession, trained: list[TrainedSet], with_history: bool) -> DataFrame:
+    """One row per feature set: what it was trained on and what was chosen."""
+    rows = [(t.name, with_history, t.features, t.rows, t.labeled_rows, t.model_name, t.threshold, t.validation_auc,
+             t.validation_f1) for t in trained]
+    return spark.createDataFrame(
+        rows,
+        "feature_set STRING, history_found BOOLEAN, features ARRAY<STRING>, rows BIGINT, labeled_rows BIGINT, "
+        "best_model_name STRING, best_threshold DOUBLE, best_validation_auc DOUBLE, best_validation_f1 DOUBLE",
+    )
+
+
+def importance_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
+    """Feature importances of the chosen models."""
+    parts = [
+        feature_importance(spark, t.model, t.features).select(
+            F.lit(t.name).alias("feature_set"), F.lit(t.model_name).alias("model_name"), "*")
+        for t in trained
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def side_tables(trained: list[TrainedSet], kind: str) -> DataFrame:
     """The ROC ``curves`` or the class ``reports`` of all feature sets, models and sides in one table."""
     parts = [
@@ -241,14 +262,19 @@ def predict_all(merged: DataFrame, trained: TrainedSet) -> DataFrame:
     return prediction_rows(scored, trained.model_name, trained.name, trained.threshold)
 
 
-def write_training(merged: DataFrame, trained: dict[str, TrainedSet], folder: str) -> None:
+def write_training(
+    merged: DataFrame, trained: dict[str, TrainedSet], folder: str, with_history: bool = True
+) -> None:
     """Models, predictions and metrics of a run under ``folder``."""
+    spark = merged.sparkSession
     for each in trained.values():
-        save_model(merged.sparkSession, each, f"{folder}/{each.name}_model")
+        save_model(spark, each, f"{folder}/{each.name}_model")
         write_json(predict_all(merged, each), f"{folder}/{each.name}_predictions")
-    save_model(merged.sparkSession, trained["static_only"], f"{folder}/bug_model")
+    save_model(spark, trained["static_only"], f"{folder}/bug_model")
     sets = list(trained.values())
-    write_json(metrics_table(merged.sparkSession, sets), f"{folder}/training_summary")
+    write_json(run_table(spark, sets, with_history), f"{folder}/training_run")
+    write_json(metrics_table(spark, sets), f"{folder}/training_summary")
+    write_json(importance_table(spark, sets), f"{folder}/importances")
     for kind in ("curves", "reports"):
         write_json(side_tables(sets, kind), f"{folder}/{kind}")
 

@@ -99,16 +99,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(held, columns=["path", "content"])
 
 
-def read_source_files(spark: SparkSession, roots: list[str], base: str | None = None) -> DataFrame:
-    """(path, content) of every supported file under ``roots``; paths are relative to ``base`` if given.
-
-    The listing is written down first. Its byte total sets the number of reading tasks, which the size of the path
-    table itself would not tell.
-    """
-    listing = materialize(list_source_files(spark, roots), "source_listing")
-    total = listing.agg(F.sum("size")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
-    files = listing.select("path").repartition(tasks, F.xxhash64("path")).mapInPandas(_read, SOURCE_FILES)
+def relative_paths(files: DataFrame, base: str | None) -> DataFrame:
     if base is None:
         return files
     prefix = base.rstrip("/") + "/"
@@ -116,6 +107,22 @@ def read_source_files(spark: SparkSession, roots: list[str], base: str | None =
     return files.withColumn("path", F.coalesce(relative, F.col("path")))
 
 
+def read_listed_files(listing: DataFrame, base: str | None = None) -> DataFrame:
+    """(path, content) of the files of a written ``listing``; paths are relative to ``base`` if given.
+
+    The byte total of the listing sets the number of reading tasks, which the size of the path table would not tell.
+    """
+    total = listing.agg(F.sum("size")).first()[0] or 0
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+    spread = listing.select("path").repartition(tasks, F.xxhash64("path"))
+    return relative_paths(spread.mapInPandas(_read, SOURCE_FILES), base)
+
+
+def read_source_files(spark: SparkSession, roots: list[str], base: str | None = None) -> DataFrame:
+    """(path, content) of every supported file under ``roots``, listed once and then read."""
+    return read_listed_files(materialize(list_source_files(spark, roots), "source_listing"), base)
+
+
 def write_source_files(files: DataFrame, root: str) -> None:
     """Write (path, content) as single files under ``root``. A repeated task writes the same files again."""
 

@@ -2,6 +2,9 @@ import pytest
 
 from defectlens.functions.source_scan import functions_in
 from defectlens.operators import extraction as X, ranking as R
+from defectlens.plans.extraction import extract_tree, write_extraction
+from defectlens.plans.scoring import score_files
+from defectlens.schemas import FUNCTION_METRICS
 from defectlens.sources.code_tree import read_source_files
 
 PYTHON = '''
@@ -147,3 +150,20 @@ def test_source_tree(spark, tmp_path):
     for scheme in ("file://", "file:"):
         by_uri = read_source_files(spark, [f"{scheme}{tmp_path}/r/deep/"])
         assert [r["path"] for r in by_uri.collect()] == [f"{scheme}{tmp_path}/r/deep/1/2/3/4/x.go"]
+
+
+def test_extract_and_score_a_tree(spark, tmp_path):
+    (tmp_path / "repos/r1/tests").mkdir(parents=True)
+    (tmp_path / "repos/r1/tests/a.py").write_text("def f(a):\n    return a\n\ndef g(a, b):\n    return a and b\n")
+    (tmp_path / "repos/r1/b.js").write_text("// nothing\n")
+    extracted = extract_tree(spark, [f"{tmp_path}/repos"], base=str(tmp_path))
+    assert {r["function"]: r["ccn"] for r in extracted.functions.collect()} == {"f": 1, "g": 2}
+    assert {r["file"]: r["function_count"] for r in extracted.files.collect()} == {
+        "repos/r1/tests/a.py": 2, "repos/r1/b.js": 0}
+    write_extraction(extracted, f"file://{tmp_path}/out")
+    assert spark.read.csv(f"file://{tmp_path}/out/function_metrics", header=True).columns == FUNCTION_METRICS.names
+    assert spark.read.json(f"file://{tmp_path}/out/summary").first()["files_skipped"] == 1
+    files = read_source_files(spark, [f"{tmp_path}/repos"], base=str(tmp_path))
+    ranked = score_files(files, test_flag=False).orderBy("rank").collect()
+    assert [(r["function"], r["is_test_file"], r["display_score"]) for r in ranked] == [
+        ("f", 0, "#1 · Low"), ("g", 0, "#2 · Low")]

@@ -91,3 +91,12 @@ def test_shared_folder():
     assert shared_folder(session(None, "local[2]")).endswith("defectlens-app")
     with pytest.raises(ValueError):
         shared_folder(session(None, "yarn"))
+
+
+def test_equal_keys_are_cut_apart(spark):
+    rows = spark.range(600).selectExpr("'one' AS g", "1 AS score", "id")
+    ranked = skew.prefix_sums(rows, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=100)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 601))
+    assert ranked.columns == ["g", "score", "id", "rank", "rank_total"]
+    slices = skew._sliced_prefix_sums(rows, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, 6)
+    assert slices.where("rank_total <> 600").count() == 0

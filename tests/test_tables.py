@@ -26,8 +26,13 @@ def test_label_table_keeps_columns_and_labels(spark, tmp_path):
     rows = {r["function"]: r for r in tables.read_raw(spark, target).collect()}
     assert {k: r["bug_label"] for k, r in rows.items()} == {"a": "1", "b": "0", "c": ""}
     assert rows["a"]["note"] == "n1"
+    tables.label_table(spark, source, f"{target}2", D.apply_threshold_label)
+    rows = {r["function"]: r["bug_label"] for r in tables.read_raw(spark, f"{target}2").collect()}
+    assert rows == {"a": "1", "b": "0", "c": "0"}
     with pytest.raises(ValueError):
         tables.label_table(spark, source, source + "/")
+    with pytest.raises(ValueError, match="missing"):
+        D.apply_threshold_label(spark.createDataFrame([(1,)], "ccn int"))
 
 
 def test_existing_labels_stay(spark):

@@ -133,6 +133,9 @@ def test_run_store_load_and_score(spark, table, tmp_path):
     predictions = spark.read.json(f"{folder}/combined_predictions")
     assert set(predictions.columns) == set(PREDICTION_COLUMNS) and predictions.count() == table.count()
     assert spark.read.json(f"{folder}/training_summary").count() == 8
+    runs = {r["feature_set"]: r for r in spark.read.json(f"{folder}/training_run").collect()}
+    assert runs["combined"]["best_threshold"] == trained["combined"].threshold and runs["static_only"]["history_found"]
+    assert spark.read.json(f"{folder}/importances").groupBy("feature_set").count().count() == 2
     reports = spark.read.json(f"{folder}/reports").groupBy("feature_set", "model_name", "split").count()
     assert {r["count"] for r in reports.collect()} == {5} and reports.count() == 8
     ends = spark.read.json(f"{folder}/curves").groupBy("feature_set", "model_name", "split").agg(F.max("fpr"), F.max("tpr"))
