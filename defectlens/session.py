@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +31,21 @@ def build_session(app: str = "defectlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()  # applications that have the package
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; ``--py-files`` does the same from outside."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="defectlens-"), "defectlens")
+    archive = shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)  # the driver serves the file to all executors
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
