@@ -63,11 +63,11 @@ def op2(spark, sf_dir):
     r"""
     WITH lines AS (
         SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
-    ), at AS (
+    ), placed AS (
         SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM lines
     ), keyed AS (
         SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM at
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed
     ), often AS (
         SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
     ), marked AS (
