@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from defectlens.llm import linededup, simhash, topk
+from defectlens.llm import bpe, linededup, simhash, tokencount, topk
 from defectlens.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def vocabulary_path() -> str:
+    """Where the public vocabulary file of the queries lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +65,14 @@ def op2(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op5_bpe_encode_decode")
+def op5(spark, sf_dir):
+    packed = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True)
+    return packed.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query(
     "op9_line_dedup",
     r"""
@@ -82,3 +97,9 @@ def op9(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return counted.withColumnRenamed("id", "doc_id")
