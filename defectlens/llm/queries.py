@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from defectlens.llm import bpe, chat, decontaminate, licenses, linededup, simhash, tokencount, topk
+from defectlens.llm import bpe, chat, decontaminate, licenses, linededup, simhash, tokencount, topk, toxicity
 from defectlens.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,12 +69,14 @@ def op2(spark, sf_dir):
     "op3_benchmark_decontamination",
     r"""
     WITH items AS (
-        SELECT item_id, list_filter(string_split_regex(lower(text), '[ 	-]+'), lambda w: w <> '') AS w FROM benchmark
+        SELECT item_id, list_filter(string_split_regex(lower(text), '[ 	-
+]+'), lambda w: w <> '') AS w FROM benchmark
     ), item AS (
         SELECT item_id, len(w) AS n, least(len(w), 5) AS k, list_transform(range(1, len(w) - least(len(w), 5) + 2),
                lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' ')) AS s FROM items WHERE len(w) > 0
     ), doc AS (
-        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents
     ), ds AS (
         SELECT doc_id, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS s
         FROM doc, (SELECT DISTINCT k FROM item) WHERE len(w) >= k
@@ -106,6 +108,13 @@ def op5(spark, sf_dir):
     )
 
 
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 @query("op7_chat_formatting")
 def op7(spark, sf_dir):
     sample = r"\### Assistant: </turn> ok"
