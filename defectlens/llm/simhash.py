@@ -88,20 +88,27 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def _variants(prints: DataFrame, masks: list[int]) -> DataFrame:
-    flips = F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")
-    return prints.select("fp", flips).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+    """(variant, flip): the number of the flip takes less room in the shuffle than the fingerprint, which it gives back."""
+    flips = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("flip", "mask")
+    rows = prints.select("fp", flips)
+    return rows.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), F.col("flip").cast("short").alias("flip"))
+
+
+def _origin(masks: list[int]) -> Column:
+    """The fingerprint that emitted a variant."""
+    return F.col("variant").bitwiseXOR(F.get(F.array(*[F.lit(m) for m in masks]), F.col("flip")))
 
 
 def fingerprint_links(prints: DataFrame, distinct_prints: int) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` that span every pair within the radius."""
     parts = max(shuffle_partitions(prints), math.ceil(distinct_prints / PER_PARTITION))
-    near = _variants(prints, near_masks()).repartition(parts, "variant")
+    near = _variants(prints, near_masks()).repartition(parts, "variant").select("variant", _origin(near_masks()).alias("fp"))
     star = near.withColumn("hub", F.min("fp").over(Window.partitionBy("variant")))  # at most 65 rows a variant
     hubs = star.where("fp = hub").select("variant", "hub")
     even = prints.where(F.bit_count("fp") % 2 == 0)
     far = _variants(even, far_masks()).repartition(parts, "variant")
-    met = far.join(hubs.hint("shuffle_hash"), "variant")
-    links = star.where("fp <> hub").select("fp", "hub").union(met.select("fp", "hub"))
+    met = far.join(hubs.hint("shuffle_hash"), "variant").select(_origin(far_masks()).alias("fp"), "hub")
+    links = star.where("fp <> hub").select("fp", "hub").union(met)
     links = links.distinct().where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))).between(1, RADIUS))
     return links.select(F.col("fp").alias("u"), F.col("hub").alias("v"))
 
