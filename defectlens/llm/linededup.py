@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from defectlens.llm.common import ascii_lower, same
+from defectlens.llm.common import ascii_lower, cut, same
 
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -16,7 +16,7 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """A line without white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, ENDS, ""))
+    return ascii_lower(F.trim(line, F.lit(WHITE)))
 
 
 def _hash(key: Column) -> Column:
@@ -29,9 +29,8 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
     A hot line meets its like only as partial counts, and the join that finds its places again can be split by Spark.
     """
-    keyed = docs.select(
-        F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.transform(lines_of(F.col(text)), lambda l: _hash(line_key(l))).alias("keys")
-    )
+    keys = F.transform(F.transform(lines_of(F.col(text)), line_key), _hash)
+    keyed = cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), keys.alias("keys")))
     once = keyed.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
     # Ids may repeat, so they count once per key; null ids count as one document.
     per_id = once.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
