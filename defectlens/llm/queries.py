@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from defectlens.llm import bpe, chat, decontaminate, licenses, linededup, simhash, tokencount, topk, toxicity
+from defectlens.llm import bpe, chat, decontaminate, licenses, linededup, ppm, simhash, tokencount, topk, toxicity
 from defectlens.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,11 @@ def op3(spark, sf_dir):
     return leaks.select(F.col("id").alias("doc_id"), "item_id", "similarity", "start")
 
 
+@query("op4_lm_scoring")
+def op4(spark, sf_dir):
+    return ppm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_bpe_encode_decode")
 def op5(spark, sf_dir):
     packed = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True)
