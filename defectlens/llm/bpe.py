@@ -189,7 +189,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with the column ``decoded``; null ids give a null text."""
+    """``encoded`` with the column ``decoded``, which it must not have yet; null ids give a null text."""
     shared = share(encoded.sparkSession, path)
     schema = encoded.select("*").schema.add("decoded", "string")
 

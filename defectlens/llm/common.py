@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,6 +45,16 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added to those that are columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * i for i in count()) if n.lower() not in taken) for name in names]
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from defectlens.llm.common import ascii_lower, cut, same
+from defectlens.llm.common import all_columns, ascii_lower, cut, same, unused
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -41,26 +41,32 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10) -> DataFrame:
-    """``docs`` with the columns kept (the text without the dropped lines), n_lines and n_dropped added.
+    """``docs`` with kept (the text without the dropped lines), n_lines and n_dropped, which replace columns of the same names.
 
     A line is dropped if its key, of at least one character, occurs in ``min_docs`` or more documents, told apart by id. Null and
     empty texts are one empty line, which stays. A text that loses all its lines becomes empty. Repeated rows stay
     repeated, and no rows give no rows.
     """
-    gone = dropped_lines(docs, doc_id, text, min_docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
-    rows = docs.join(gone, same(F.col(doc_id), F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    lines = lines_of(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return rows.select(
-        *docs.columns,
-        F.when(F.col("_dropped").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("kept"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    rows, kept, n_lines, n_dropped = _marked(docs, doc_id, text, min_docs)
+    new = {"kept": kept, "n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")}
+    old = [c for c, name in zip(all_columns(docs), docs.columns) if name.lower() not in new]
+    return rows.select(*old, *[column.alias(name) for name, column in new.items()])
 
 
-def without_repeated_lines(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10) -> DataFrame:
     """``docs`` with its columns, the dropped lines gone from ``text``; null texts stay null."""
-    kept = dedup_lines(docs, text=text, **settings)
-    return kept.select(*[F.when(F.col(text).isNotNull(), F.col("kept")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    rows, kept, _, _ = _marked(docs, doc_id, text, min_docs)
+    columns = zip(all_columns(docs), docs.columns)
+    return rows.select(*[F.when(F.col(text).isNotNull(), kept).alias(name) if name == text else c for c, name in columns])
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
+    """The documents next to their dropped positions; the text that is kept, and the numbers of lines and of dropped ones."""
+    own_id, own_hash, dropped = unused(docs, "_id", "_hash", "_dropped")
+    gone = dropped_lines(docs, doc_id, text, min_docs).toDF(own_id, own_hash, dropped)
+    rows = docs.join(gone, same(F.col(doc_id), F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    lines = lines_of(F.col(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    whole = F.when(F.col(dropped).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept)
+    return rows, whole, F.size(lines), F.coalesce(F.size(dropped), F.lit(0))

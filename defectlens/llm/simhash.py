@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from defectlens.llm.common import BLOCK, cut, same, shuffle_partitions, word_blocks
+from defectlens.llm.common import BLOCK, cut, same, shuffle_partitions, unused, word_blocks
 from defectlens.llm.components import connected_components
 
 BITS, RADIUS = 64, 3
@@ -137,14 +137,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Of rows equal in id and text one stays; rows of one id in different components are different documents.
     """
     found = near_duplicates(docs, doc_id, text, width)
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")  # null ids come last
-    chosen = found.groupBy("root").agg(F.min(key).alias("best")).select(
-        F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash")
+    own_id, own_hash, key = unused(docs, "_id", "_hash", "_key")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))  # null ids come last
+    chosen = found.groupBy("root").agg(smallest.alias("best")).select(
+        F.col("best.id").alias(own_id), F.col("best.text_hash").alias(own_hash)
     )
-    kept = docs.withColumn("_key", F.xxhash64(text)).join(
-        chosen, same(F.col(doc_id).cast("long"), F.col("_id")) & (F.col("_key") == F.col("_hash")), "left_semi"
+    kept = docs.withColumn(key, F.xxhash64(text)).join(
+        chosen, same(F.col(doc_id).cast("long"), F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left_semi"
     )
-    return kept.dropDuplicates([doc_id, "_key"]).drop("_key")
+    return kept.dropDuplicates([doc_id, key]).drop(key)
 
 
 def hex_digits(fingerprint: Column) -> Column:

@@ -15,6 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from defectlens.llm.common import all_columns, unused
 
 WINDOW, STRIDE = 32, 16  # words
 WORD = re.compile(r"[^\W_]+")
@@ -311,23 +314,33 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with held_out, score and predicted added, which replace columns of the same names.
+    """``docs`` with held_out, score and predicted (1 from ``threshold`` on), which replace columns of the same names.
 
     Every word of a text lies in a window. A null, empty or wordless text gets the score of an empty word. Rows may repeat; no
     rows give no rows.
     """
+    name, out = _scored(docs, model, text)
+    old = [c for c, column in zip(all_columns(docs), docs.columns) if column.lower() not in ("held_out", "score", "predicted")]
+    return out.select(
+        *old, held_out(doc_id).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= threshold).cast("int").alias("predicted")
+    )
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs``, with its columns, but for those that score ``threshold`` or more."""
+    name, out = _scored(docs, model, text)
+    return out.where(F.col(name) < threshold).drop(name)
+
+
+def _scored(docs: DataFrame, model: Model, text: str) -> tuple[str, DataFrame]:
+    """``docs`` with the score in a column of a new name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
-    rows = docs.select(*names, F.col(text).cast("string").alias("__text"))
-    at = len(names)
+    (name,), at = unused(docs, "score"), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
         for batch in batches:
             scores = scorer.score_all([t.as_py() or "" for t in batch.column(at)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = docs.select(*names).schema.add("score", "double")
-    return rows.mapInArrow(run, schema).select(
-        *names, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    return name, docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
