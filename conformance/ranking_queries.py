@@ -226,17 +226,18 @@ def k8_uploads(spark, sf_dir):
 
 
 @query("k9_build_prompts", with_views(["ruled"], f"""
-  SELECT event_id, file, message, md5(E'You are a friendly code reviewer.\\n\\nThe user uploaded this file:\\nFile name: ' || file ||
+  SELECT event_id, file, message, coalesce(part, 1)::INT AS part, coalesce(parts, 1)::INT AS parts,
+    CASE WHEN code IS NULL THEN 'I need the uploaded code text before I can answer detailed code questions.' END AS answer,
+    md5(E'You are a friendly code reviewer.\\n\\nThe user uploaded this file:\\nFile name: ' || file ||
     E'\\nLanguage: ' || language || E'\\n\\nTop ranked functions from local analysis:\\n' || summary_lines ||
-    E'\\n\\nUser question:\\n' || message || E'\\n\\nCode:\\n```' || lower(language) || E'\\n' || substring(text, 1, 20000) ||
-    E'\\n```\\n\\nInstructions:\\n- Answer clearly and simply.\\n- Stay specific to the uploaded code.\\n'
-    '- If you mention a bug, explain why.\\n- If the user asks for a fix, show steps or an example.\\n'
-    '- If useful, suggest a safer or cleaner refactor.\\n') AS prompt_md5
+    E'\\n\\nUser question:\\n' || message || E'\\n\\nCode:\\n```' || lower(language) || E'\\n' || code ||
+    E'\\n```\\n\\nInstructions:\\n- Answer clearly and simply.\\n- Stay specific to the uploaded code.\\n- If you mention a bug, explain why.\\n- If the user asks for a fix, show steps or an example.\\n- If useful, suggest a safer or cleaner refactor.\\n') AS prompt_md5
   FROM (SELECT asked.*, digest.* EXCLUDE (file), {_ROUTE} AS route FROM asked LEFT JOIN digest USING (file))
-  JOIN (SELECT 'data/repos/repo' || (doc_id % 9) || '/src/f' || doc_id || (['.py', '.js', '.md', '.java'])[doc_id % 4 + 1]
-          AS file, text FROM documents WHERE trim(text) <> '') USING (file) WHERE route = 'free'"""
-    .replace("code.\\n'\n    '- If", "code.\\n- If").replace("why.\\n- If", "why.\\n- If")
-    .replace("example.\\n'\n    '- If", "example.\\n- If"), **_VIEWS))
+  LEFT JOIN (SELECT file, parts, part, substring(text, (part - 1) * 20000 + 1, 20000) AS code FROM (
+      SELECT *, unnest(range(1, parts + 1)) AS part FROM (
+        SELECT 'data/repos/repo' || (doc_id % 9) || '/src/f' || doc_id || (['.py', '.js', '.md', '.java'])[doc_id % 4 + 1]
+          AS file, text, ceil(length(text) / 20000)::BIGINT AS parts FROM documents WHERE trim(text) <> ''))) USING (file)
+  WHERE route = 'free'""", **_VIEWS))
 def k9(spark, sf_dir):
     prompts = A.build_prompts(questions(spark, sf_dir), ruled(spark, sf_dir), file_texts(spark, sf_dir))
-    return prompts.select("event_id", "file", "message", F.md5("prompt").alias("prompt_md5"))
+    return prompts.select("event_id", "file", "message", "part", "parts", "answer", F.md5("prompt").alias("prompt_md5"))

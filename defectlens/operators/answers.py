@@ -11,13 +11,14 @@ from defectlens.operators.skew import MAX_GROUP_ROWS, hot_keys, join_lookup
 
 LISTED = 10  # functions named in an answer about a risk group
 TOP = 5  # functions named in a top answer and in a prompt
-PROMPT_CODE_CHARS = 20_000  # the prompt shows this much of the code
+PART_CHARS = 20_000  # a prompt shows this much code; longer code makes several prompts
 
 # Answer texts.
 NO_UPLOAD = "Please upload a supported code file first so I can analyze its functions."
 NO_FUNCTIONS = "No functions were detected in the uploaded code file."
 NO_FEATURES = "no saved feature list found"
 NO_RANKED = "No ranked functions available."
+NO_CODE = "I need the uploaded code text before I can answer detailed code questions."
 
 
 def text(template: str, **values: Column | str) -> Column:
@@ -125,18 +126,24 @@ def upload_summaries(files: DataFrame, ranked: DataFrame, max_group_rows: int =
 
 
 def build_prompts(
-    questions: DataFrame, ranked: DataFrame, files: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
+    questions: DataFrame, ranked: DataFrame, files: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, part_chars: int = PART_CHARS
 ) -> DataFrame:
-    """``questions`` with a ``prompt`` for every free-form one whose file has code; ``files`` is (path, content)."""
+    """Free-form ``questions`` with ``part``, ``parts`` and ``prompt``; ``files`` is (path, content).
+
+    Every free-form question has a row for each part of the code of its file, numbered from 1, so that all of the code is
+    asked about. Where the file has no code there is one row, whose prompt is null and whose ``answer`` says so. Of a
+    path that occurs twice the smallest content counts.
+    """
     hot = hot_keys(questions, "file", max_group_rows)
     free = join_lookup(questions, file_digest(ranked), "file", max_group_rows, hot)
     free = free.where(route_question("message", F.col("functions_in_file").isNotNull()) == "free")
     free = free.select(*questions.columns, "summary_lines")
-    # Only the part that is shown travels through the join.
-    code = files.where(F.col("content").rlike(r"\S")).select(
-        F.col("path").alias("file"), F.substring("content", 1, PROMPT_CODE_CHARS).alias("_code")
+    code = files.where(F.col("content").rlike(r"\S")).groupBy(F.col("path").alias("file")).agg(F.min("content").alias("_code"))
+    code = code.withColumn("parts", F.ceil(F.length("_code") / part_chars).cast("int"))
+    code = code.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts")))).withColumn(
+        "_code", F.substr("_code", (F.col("part") - 1) * part_chars + 1, F.lit(part_chars))
     )
-    joined = join_lookup(free, code, "file", max_group_rows, hot).where(F.col("_code").isNotNull())
+    joined = join_lookup(free, code, "file", max_group_rows, hot)
     prompt = text(
         "You are a friendly code reviewer.\n\n"
         "The user uploaded this file:\nFile name: {file}\nLanguage: {language}\n\n"
@@ -148,4 +155,8 @@ def build_prompts(
         file="file", language=language("file"), summary=F.coalesce("summary_lines", F.lit(NO_RANKED)),
         question="message", fence=F.lower(language("file")), code="_code",
     )
-    return joined.select(*questions.columns, prompt.alias("prompt"))
+    has_code = F.col("_code").isNotNull()
+    return joined.select(
+        *questions.columns, F.coalesce("part", F.lit(1)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"),
+        F.when(has_code, prompt).alias("prompt"), F.when(~has_code, NO_CODE).alias("answer"),
+    )

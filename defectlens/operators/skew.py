@@ -13,11 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from defectlens.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000  # rows of one group that a single task may sort
-MAX_SLICES = 20_000  # pieces of an ordered table; bounds the carry table that is broadcast
-MAX_HOT_KEYS = 100  # keys salted by a join: any other key then holds under 1% of the rows
-MAX_SALTS = 1_000
 PREFIX_DIGITS = 3  # hex digits per refinement step: 4,096 buckets
-DRIVER_ROWS = 50_000  # digests that may be sorted for one pick
+PICK_ROWS = 50_000  # digests that may be sorted for one pick
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -45,16 +42,17 @@ def prefix_sums(
 ) -> DataFrame:
     """Add, per measure ``m``, the sum ``m`` over the rows up to this one and the group's sum ``m_total``.
 
-    ``order`` must be total within a group. With a group too big for one task the rows are range-partitioned
-    on (group, order) instead, summed within each slice, and every slice gets what the slices before it carry over.
+    Rows equal in ``order`` follow each other by the hash of the row, in both plans, so that the sums depend on the rows alone.
+    With a group too big for one task the rows are range-partitioned on (group, order) instead, summed within each slice, and
+    every slice gets what the slices before it carry over.
     """
     rows = largest_group
     if largest_group is None:
         largest_group, rows = group_sizes(df, by)
     if largest_group <= max_group_rows:
         group = Window.partitionBy(*by)
-        return df.withColumns(_sums(measures, group, order))
-    slices = min(MAX_SLICES, max(2, math.ceil(rows / max_group_rows)))
+        return df.withColumns(_sums(measures, group, [*order, row_hash(df)]))
+    slices = max(2, math.ceil(rows / max_group_rows))
     return _sliced_prefix_sums(df, by, order, measures, slices)
 
 
@@ -67,8 +65,8 @@ def _sums(measures: dict[str, Column], group: Window, order: list[Column]) -> di
 def _sliced_prefix_sums(
     df: DataFrame, by: list[str], order: list[Column], measures: dict[str, Column], slices: int
 ) -> DataFrame:
-    # The slice number depends on sampled range bounds, so it is written down before two plans read it. The hash of
-    # the row comes last, so that many rows with equal keys can be cut apart, at the same place in a retried task.
+    # The slice number depends on sampled range bounds, so it is written down before two plans read it. The hash of the row,
+    # last in the order, lets many rows with equal keys be cut apart, at the same place in a retried task.
     order = [*order, F.col("_row")]
     keyed = df.withColumn("_row", row_hash(df))
     placed = keyed.repartitionByRange(slices, *[F.col(c).asc() for c in by], *order)
@@ -99,32 +97,34 @@ def _sliced_prefix_sums(
     return out.withColumns(final).drop("_slice", "_row", *carry.columns)
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int) -> dict:
-    """Up to ``MAX_HOT_KEYS`` keys, null among them, with more than ``min_rows`` rows, and their row counts."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.where(F.col("n") > min_rows).orderBy(F.col("n").desc(), key).limit(MAX_HOT_KEYS).collect()
-    return {row[0]: row["n"] for row in hot}
+def hot_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame | None:
+    """(key, _salts): every key, null among them, with more than ``max_rows`` rows, and into how many parts it goes; None if none.
+
+    There are at most rows / ``max_rows`` of them, which bounds what the joins broadcast.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    hot = materialize(sizes.select(key, F.ceil(F.col("_n") / max_rows).cast("int").alias("_salts")), "hot_keys")
+    return None if hot.isEmpty() else hot
 
 
 def join_lookup(
-    left: DataFrame, right: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS, hot: dict | None = None
+    left: DataFrame, right: DataFrame, key: str, max_group_rows: int = MAX_GROUP_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Left join to ``right``, which holds each key once.
+    """Left join to ``right``, which holds each key once or a few times.
 
-    The sides are not hinted: adaptive execution broadcasts ``right`` if its measured size allows. Keys that hold too
-    many rows of ``left`` are spread over salts, and only their rows of ``right`` are repeated. The salt is a
-    hash of the row, so that a retried task places the row where it was before. ``hot`` saves counting the keys again.
+    The sides are not hinted: adaptive execution broadcasts ``right`` if its measured size allows. Each key that holds too many
+    rows of ``left`` is spread over salts of its own number, and only its rows of ``right`` are repeated. The salt is a hash of the
+    row, so that a retried task places the row where it was before. ``hot`` saves counting the keys again.
     """
+    hot = hot_keys(left, key, max_group_rows) if hot is None else hot
     if hot is None:
-        hot = hot_keys(left, key, max_group_rows)
-    if not hot:
         return left.join(right, key, "left")
-    salts = min(MAX_SALTS, math.ceil(max(hot.values()) / max_group_rows))
-    spread = F.pmod(row_hash(left), F.lit(salts)).cast("int")
-    is_hot = F.col(key).isin(*[value for value in hot if value is not None])  # null rows match nothing, wherever they go
-    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
+    salts = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    numbered = left.join(salts, F.col(key).eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    spread = F.pmod(row_hash(left), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = numbered.withColumn("_salt", spread).drop("_salts")
+    repeated = right.join(salts, F.col(key) == F.col("_hot"), "left").drop("_hot")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
@@ -135,11 +135,12 @@ def hex_histogram(df: DataFrame, name: str, digits: int = PREFIX_DIGITS) -> list
 
 
 def kth_smallest_hex(
-    df: DataFrame, name: str, ranks: list[int], histogram: list[tuple[str, int]], small: int = DRIVER_ROWS
+    df: DataFrame, name: str, ranks: list[int], histogram: list[tuple[str, int]], small: int = PICK_ROWS, width: int = 30
 ) -> dict[int, str]:
     """The digests at ``ranks`` (from 1; rank 0 gives ``""``) of column ``name``, whose ``histogram`` is given.
 
-    Narrows down by digest prefix, so no task sorts and no driver sees more than ``small`` or 4,096 rows per rank.
+    Narrows down by digest prefix, so no task sorts and no driver sees more than ``small`` or 4,096 rows per rank, but for
+    digests that are equal in ``width`` digits.
     """
     found = {rank: "" for rank in ranks if rank <= 0}
     for rank in set(ranks) - set(found):
@@ -150,7 +151,7 @@ def kth_smallest_hex(
                     break  # it is in this bucket
                 left -= rows
             rest = rest.where(F.col(name).startswith(prefix))
-            if rows <= small or len(prefix) == 30:
+            if rows <= small or len(prefix) >= width:
                 break
             buckets = hex_histogram(rest, name, len(prefix) + PREFIX_DIGITS)
         found[rank] = rest.orderBy(name).offset(left - 1).limit(1).first()[0]

@@ -11,8 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectlens.functions.numbers import clean_value, coerce_numeric, numeric
 from defectlens.operators.evaluate import classification_report, evaluate_scores, roc_auc, roc_curve
@@ -21,8 +20,9 @@ from defectlens.operators.features import (
 )
 from defectlens.operators.split import group_split, stratified_split
 from defectlens.schemas import (
-    BASIC_FEATURES, COMBINED_FEATURES, PREDICTION_COLUMNS, ROC_FEATURES, SHORT_PREDICTION_COLUMNS, STATIC_FEATURES,
+    BASIC_FEATURES, COMBINED_FEATURES, PREDICTION_COLUMNS, ROC_FEATURES, PREDICTION_TYPES, SHORT_PREDICTION_COLUMNS, STATIC_FEATURES,
 )
+from defectlens.session import materialize
 from defectlens.sources.tables import write_json
 
 LABEL = "bug_label"
@@ -55,6 +55,8 @@ class TrainedSet:
     rows: int
     labeled_rows: int
     results: dict[str, dict]
+    models: dict[str, PipelineModel]
+    history_found: bool = False
 
 
 def class_weights(counts: dict[int, int]) -> dict[int, float]:
@@ -128,16 +130,16 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: list
 def prediction_rows(scored: DataFrame, model_name: str, feature_set: str, threshold: float) -> DataFrame:
     """The prediction table; columns that ``scored`` lacks are null."""
     given = {"model_name": F.lit(model_name), "feature_set": F.lit(feature_set), "threshold": F.lit(float(threshold))}
-    return scored.select([
-        given.get(c, clean_value(scored, c) if c in scored.columns else F.lit(None)).alias(c)
-        for c in PREDICTION_COLUMNS
-    ])
+    return scored.select([given.get(c, _prediction(scored, c)).alias(c) for c in PREDICTION_COLUMNS])
+
+
+def _prediction(scored: DataFrame, name: str) -> Column:
+    """The column, or nulls of the type it has where it is present."""
+    return clean_value(scored, name) if name in scored.columns else F.lit(None).cast(PREDICTION_TYPES.get(name, "double"))
 
 
 def prediction_rows_short(scored: DataFrame) -> DataFrame:
-    return scored.select([
-        (clean_value(scored, c) if c in scored.columns else F.lit(None)).alias(c) for c in SHORT_PREDICTION_COLUMNS
-    ])
+    return scored.select([_prediction(scored, c).alias(c) for c in SHORT_PREDICTION_COLUMNS])
 
 
 def train_feature_set(
@@ -147,54 +149,49 @@ def train_feature_set(
     data = coerce_numeric(df, features)
     labeled = with_group(labeled_rows(data))
     require_two_classes(labeled)
-    sides = spread(group_split(labeled, seed=seed)).select(*features, LABEL, "split")
-    sides = sides.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train = sides.where(F.col("split") == "train")
-        train = weighted(train, require_two_classes(train))
-        models = {
-            "random_forest": train_forest(train, features, settings),
-            "logistic_regression": train_logistic(train, features),
-        }
-        results = {}
-        for model_name, model in models.items():
-            results[model_name] = _tune(model, sides, features)
-        best = max(results, key=lambda n: results[n]["validation"]["f1_score"])  # the first of equals
-        return TrainedSet(
-            name=name,
-            features=features,
-            model_name=best,
-            model=models[best],
-            threshold=results[best]["threshold"],
-            validation_auc=results[best]["validation"]["roc_auc"],
-            validation_f1=results[best]["validation"]["f1_score"],
-            rows=data.count(),
-            labeled_rows=sides.count(),
-            results=results,
-        )
-    finally:
-        sides.unpersist()
+    # Written once: the many passes of training read it, whatever executors are lost.
+    sides = materialize(spread(group_split(labeled, seed=seed)).select(*features, LABEL, "split"), "training_rows")
+    train = sides.where(F.col("split") == "train")
+    train = weighted(train, require_two_classes(train))
+    models = {
+        "random_forest": train_forest(train, features, settings),
+        "logistic_regression": train_logistic(train, features),
+    }
+    results = {}
+    for model_name, model in models.items():
+        results[model_name] = _tune(model, sides, features)
+    best = max(results, key=lambda n: results[n]["validation"]["f1_score"])  # the first of equals
+    return TrainedSet(
+        name=name,
+        features=features,
+        model_name=best,
+        model=models[best],
+        threshold=results[best]["threshold"],
+        validation_auc=results[best]["validation"]["roc_auc"],
+        validation_f1=results[best]["validation"]["f1_score"],
+        rows=data.count(),
+        labeled_rows=sides.count(),
+        results=results,
+        models=models,
+    )
 
 
 def _tune(model: PipelineModel, sides: DataFrame, features: list[str]) -> dict:
     held_out = sides.where(F.col("split") != "train")
-    scored = score(model, held_out, features, 0.5).select(LABEL, "bug_probability", "split")
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        validation, test = (scored.where(F.col("split") == side) for side in ("validation", "test"))
-        tuned = evaluate_scores(validation).first().asDict()
-        threshold = tuned["threshold"]
-        sides_scored = {"validation": validation, "test": test}
-        return {
-            "threshold": threshold,
-            "validation": tuned,
-            "test": evaluate_scores(test, threshold).first().asDict(),
-            # Tables of any length are made only when they are asked for.
-            "curves": {side: partial(roc_curve, rows, drop_intermediate=True) for side, rows in sides_scored.items()},
-            "reports": {side: partial(classification_report, rows, threshold) for side, rows in sides_scored.items()},
-        }
-    finally:
-        scored.unpersist()
+    # Written once: thresholds, curves and reports of both sides come from these scores.
+    scored = materialize(score(model, held_out, features, 0.5).select(LABEL, "bug_probability", "split"), "held_out_scores")
+    validation, test = (scored.where(F.col("split") == side) for side in ("validation", "test"))
+    tuned = evaluate_scores(validation).first().asDict()
+    threshold = tuned["threshold"]
+    sides_scored = {"validation": validation, "test": test}
+    return {
+        "threshold": threshold,
+        "validation": tuned,
+        "test": evaluate_scores(test, threshold).first().asDict(),
+        # Tables of any length are made only when they are asked for.
+        "curves": {side: partial(roc_curve, rows, drop_intermediate=True) for side, rows in sides_scored.items()},
+        "reports": {side: partial(classification_report, rows, threshold) for side, rows in sides_scored.items()},
+    }
 
 
 def metrics_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
@@ -215,9 +212,9 @@ def metrics_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
     )
 
 
-def run_table(spark: SparkSession, trained: list[TrainedSet], with_history: bool) -> DataFrame:
+def run_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
     """One row per feature set: what it was trained on and what was chosen."""
-    rows = [(t.name, with_history, t.features, t.rows, t.labeled_rows, t.model_name, t.threshold, t.validation_auc,
+    rows = [(t.name, t.history_found, t.features, t.rows, t.labeled_rows, t.model_name, t.threshold, t.validation_auc,
              t.validation_f1) for t in trained]
     return spark.createDataFrame(
         rows,
@@ -227,11 +224,12 @@ def run_table(spark: SparkSession, trained: list[TrainedSet], with_history: bool
 
 
 def importance_table(spark: SparkSession, trained: list[TrainedSet]) -> DataFrame:
-    """Feature importances of the chosen models."""
+    """Feature importances of all models; ``is_best`` marks those of the chosen one."""
     parts = [
-        feature_importance(spark, t.model, t.features).select(
-            F.lit(t.name).alias("feature_set"), F.lit(t.model_name).alias("model_name"), "*")
+        feature_importance(spark, model, t.features).select(
+            F.lit(t.name).alias("feature_set"), F.lit(name).alias("model_name"), F.lit(name == t.model_name).alias("is_best"), "*")
         for t in trained
+        for name, model in t.models.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -251,10 +249,12 @@ def run_training(
     functions: DataFrame, history: DataFrame | None, settings: ForestSettings = ForestSettings(), seed: int = 42
 ) -> tuple[DataFrame, dict[str, TrainedSet]]:
     """The joined table and both trained feature sets, ``static_only`` and ``combined``."""
-    merged = coerce_numeric(merge_history(functions, history), COMBINED_FEATURES)
-    merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
+    merged = materialize(coerce_numeric(merge_history(functions, history), COMBINED_FEATURES), "merged")
     sets = {"static_only": STATIC_FEATURES, "combined": COMBINED_FEATURES}
-    return merged, {name: train_feature_set(merged, name, features, settings, seed) for name, features in sets.items()}
+    trained = {name: train_feature_set(merged, name, features, settings, seed) for name, features in sets.items()}
+    for each in trained.values():
+        each.history_found = history is not None
+    return merged, trained
 
 
 def predict_all(merged: DataFrame, trained: TrainedSet) -> DataFrame:
@@ -262,9 +262,7 @@ def predict_all(merged: DataFrame, trained: TrainedSet) -> DataFrame:
     return prediction_rows(scored, trained.model_name, trained.name, trained.threshold)
 
 
-def write_training(
-    merged: DataFrame, trained: dict[str, TrainedSet], folder: str, with_history: bool = True
-) -> None:
+def write_training(merged: DataFrame, trained: dict[str, TrainedSet], folder: str) -> None:
     """Models, predictions and metrics of a run under ``folder``."""
     spark = merged.sparkSession
     for each in trained.values():
@@ -272,7 +270,7 @@ def write_training(
         write_json(predict_all(merged, each), f"{folder}/{each.name}_predictions")
     save_model(spark, trained["static_only"], f"{folder}/bug_model")
     sets = list(trained.values())
-    write_json(run_table(spark, sets, with_history), f"{folder}/training_run")
+    write_json(run_table(spark, sets), f"{folder}/training_run")
     write_json(metrics_table(spark, sets), f"{folder}/training_summary")
     write_json(importance_table(spark, sets), f"{folder}/importances")
     for kind in ("curves", "reports"):
@@ -317,7 +315,7 @@ def load_best_model(
         try:
             facts = spark.read.json(f"{folder}/{name}/metadata").first()
             model = PipelineModel.load(f"{folder}/{name}/pipeline")
-            return model, list(facts["features"]), float(facts["threshold"] or 0.5), facts["status_label"]
+            return model, list(facts["features"]), 0.5 if facts["threshold"] is None else float(facts["threshold"]), facts["status_label"]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 return None, [], 0.5, f"Could not load saved model: {type(error).__name__}: {error}"

@@ -44,11 +44,6 @@ BASIC_METRICS = _struct(
 )
 
 
-def all_strings(schema: T.StructType) -> T.StructType:
-    """The same columns as text, for files whose numbers may be blank or damaged."""
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-
-
 # Model inputs, in training order.
 STATIC_FEATURES = [
     "start_line", "end_line", "line_span", "nloc", "ccn", "token", "params", "length", "radon_cc", "is_test_file",
@@ -69,3 +64,7 @@ PREDICTION_COLUMNS = [
     "days_since_last_change", "late_night_ratio", "burstiness_score", "bug_label", "bug_probability",
 ]
 SHORT_PREDICTION_COLUMNS = ["file", "function", "nloc", "ccn", "params", "bug_label", "bug_probability"]
+# Types of the prediction columns that are not doubles.
+PREDICTION_TYPES = {c: "string" for c in ("repo_name", "file", "file_id", "function_id", "function", "language")} | {
+    "predicted_bug_label": "int", "bug_label": "int",
+}

@@ -105,8 +105,9 @@ def test_prompts(spark, ranked):
     asked = spark.createDataFrame([(1, "a.py", "explain"), (2, "a.py", "why"), (3, "one.py", "explain")],
                                   "id int, file string, message string")
     files = spark.createDataFrame([("a.py", "é" * 30_000), ("one.py", "  ")], "path string, content string")
-    rows = A.build_prompts(asked, ranked, files).collect()
-    assert [r["id"] for r in rows] == [1]
+    rows = sorted(A.build_prompts(asked, ranked, files).collect(), key=lambda r: (r["id"], r["part"]))
+    assert [(r["id"], r["part"], r["parts"], r["answer"]) for r in rows] == [(1, 1, 2, None), (1, 2, 2, None), (3, 1, 1, A.NO_CODE)]
+    assert rows[2]["prompt"] is None and "```python\n" + "é" * 10_000 + "\n```" in rows[1]["prompt"]
     prompt = rows[0]["prompt"]
     assert "```python\n" + "é" * 20_000 + "\n```" in prompt
     assert "- #5 f04 | risk=High | ccn=7 | nloc=12 | params=2 | start=41 | end=45\n\nUser question:\nexplain" in prompt

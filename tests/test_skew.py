@@ -73,7 +73,8 @@ def test_kth_smallest_hex(rows, small):
 def test_null_keys_are_spread_too(spark):
     left = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' END AS g")
     lookup = spark.createDataFrame([("a", 1), (None, 2)], "g string, v int")
-    assert skew.hot_keys(left, "g", 150) == {None: 200}
+    assert [tuple(r) for r in skew.hot_keys(left, "g", 150).collect()] == [(None, 2)]
+    assert skew.hot_keys(left, "g", 500) is None
     got = skew.join_lookup(left, lookup, "g", max_group_rows=150)
     assert sorted(map(tuple, got.select("id", "v").collect())) == [(i, 1 if i % 3 == 0 else None) for i in range(300)]
 
@@ -100,3 +101,23 @@ def test_equal_keys_are_cut_apart(spark):
     assert ranked.columns == ["g", "score", "id", "rank", "rank_total"]
     slices = skew._sliced_prefix_sums(rows, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, 6)
     assert slices.where("rank_total <> 600").count() == 0
+
+
+def test_hundreds_of_hot_keys_are_all_split(spark):
+    left = spark.range(300 * 40).selectExpr("id", "id % 300 AS g", "id % 7 AS other").unionByName(spark.range(4000).selectExpr("id", "-1L AS g", "0L AS other"))
+    lookup = spark.range(-1, 300).selectExpr("id AS g", "id * 2 AS v")
+    hot = {r["g"]: r["_salts"] for r in skew.hot_keys(left, "g", 10).collect()}
+    assert len(hot) == 301 and hot[-1] == 400 and hot[5] == 4
+    got = skew.join_lookup(left, lookup, "g", max_group_rows=10)
+    assert got.count() == left.count() and got.where("v <> 2 * g OR v IS NULL").count() == 0
+
+
+def test_ranks_depend_on_the_rows_alone(spark):
+    """Many rows equal in the order: every plan and partitioning ranks them alike."""
+    rows = spark.range(200).selectExpr("'f' AS g", "id % 2 AS score", "CAST(id AS STRING) AS payload")
+    ranks = []
+    for parts, limit in ((1, 10_000), (7, 10_000), (3, 20), (5, 60)):
+        df = rows.repartition(parts).orderBy(F.rand(parts))
+        ranked = skew.prefix_sums(df, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=limit)
+        ranks.append({r["payload"]: r["rank"] for r in ranked.collect()})
+    assert all(r == ranks[0] for r in ranks) and sorted(ranks[0].values()) == list(range(1, 201))
