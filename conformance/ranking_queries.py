@@ -139,9 +139,9 @@ def h2(spark, sf_dir):
 @query("h3_functions_by_risk", with_views(["ruled"], """
   SELECT file, rank, function, risk_total, CAST(nth AS INTEGER) AS nth
   FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank) AS nth FROM ruled WHERE risk_label = 'Medium')
-  WHERE nth <= 3"""))
+  WHERE nth <= 10"""))
 def h3(spark, sf_dir):
-    return R.functions_by_risk(ruled(spark, sf_dir), "Medium", 3).select("file", "rank", "function", "risk_total", "nth")
+    return R.functions_by_risk(ruled(spark, sf_dir), "Medium").select("file", "rank", "function", "risk_total", "nth")
 
 
 @query("j10_score_rows", with_views(["ruled"], f"""
