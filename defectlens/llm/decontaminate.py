@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from defectlens.llm.common import cut, same
+from defectlens.llm.common import cut, same, unused
 
 WIDTH, SIMILARITY = 5, 0.8
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)  # of a 64-bit fingerprint
@@ -48,7 +48,8 @@ def window_fingerprint(shingles: Column) -> Column:
         mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
         return found.bitwiseOR(F.when(votes * 2 > F.size(shingles), mark).otherwise(F.lit(0).cast("long")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), put)
+    # Never null, so that no null check of this costly expression is moved into a join.
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), put), F.lit(0).cast("long"))
 
 
 def _block(fingerprint: Column, number: int) -> Column:
@@ -89,12 +90,31 @@ def weighted_similarity(left: Column, right: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(item_id, item, n, width, shingles, print): items of ``width`` words or less have one shingle, wordless ones none and no row."""
-    rows = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words"))
+    """(item_id, item, n, width, words, shingles, print): items of ``width`` words or less have one shingle, wordless ones none and no row."""
+    rows = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words")).distinct()
     rows = rows.withColumn("n", F.size("words")).where("n > 0").withColumn("width", F.least(F.lit(width), F.col("n")))
     sizes = [F.when(F.col("width") == k, shingle_hashes(F.col("words"), k)) for k in range(1, width + 1)]
-    rows = rows.withColumn("shingles", F.coalesce(*sizes)).withColumn("item", F.xxhash64("shingles", "n"))
-    return rows.withColumn("print", window_fingerprint(F.col("shingles"))).drop("words")
+    rows = rows.withColumn("shingles", F.coalesce(*sizes)).withColumn("item", F.xxhash64("words"))
+    return rows.withColumn("print", window_fingerprint(F.col("shingles")))
+
+
+def anchor_words(items: DataFrame, similarity: float) -> DataFrame:
+    """(word, n): some rare words of each item, so many that a window alike enough holds one of them within a shared shingle.
+
+    Such a window lacks at most 1 - ``similarity`` of the item's shingles; the words taken lie in more shingles than that. Words of few
+    items come first, of equals the longer ones. Which words are taken decides the work, not the result.
+    """
+    spots = items.select("item", "n", "width", F.posexplode("words").alias("at", "word")).distinct()
+    known = spots.select("item", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("items"))
+    rarity = F.row_number().over(Window.partitionBy("item").orderBy("items", F.length("word").desc(), "word"))
+    ranks = spots.select("item", "word").distinct().join(known, "word").withColumn("rank", rarity).select("item", "word", "rank")
+    first, last = F.greatest(F.lit(0), F.col("at") - F.col("width") + 1), F.least(F.col("at"), F.col("n") - F.col("width"))
+    inside = spots.join(ranks, ["item", "word"]).select("item", "n", "width", "rank", F.explode(F.sequence(first, last)).alias("shingle"))
+    rarest = inside.groupBy("item", "n", "width", "shingle").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("rank", "shingle"))
+    enough = F.floor((F.col("n") - F.col("width") + 1) * (1 - similarity) + 1e-9) + 1
+    cut_off = rarest.withColumn("place", place).where(F.col("place") == enough).select("item", "n", F.col("rank").alias("cut_off"))
+    return ranks.join(cut_off, "item").where("rank <= cut_off").select("word", "n").distinct()
 
 
 def contaminated(
@@ -103,9 +123,9 @@ def contaminated(
 ) -> DataFrame:
     """(id, text_hash, item_id, similarity, start): each document and item that some window makes ``similarity`` alike.
 
-    A window has as many words as the item (fewer where the document ends) and the best one starts at a shingle that the
-    item has too: moving a window on to its first shared shingle loses none. So only windows that start there are
-    fingerprinted; others would be dominated or share nothing. Windows and items within ``RADIUS`` bits meet for certain
+    A window has as many words as the item (fewer where the document ends). Only windows that can reach the similarity are
+    fingerprinted: they hold one of the item's rare words (see ``anchor_words``), and they start at a shingle that the item has too,
+    since moving a window on to its first shared shingle loses none. Windows and items within ``RADIUS`` bits meet for certain
     under a block key, and the exact similarity decides. ``start`` is the first word of the best window, the first of equals.
 
     Null, empty and wordless texts match nothing. Repeated rows and ids give one row per text and item; repeated items one per
@@ -113,9 +133,9 @@ def contaminated(
     bounded size, however large it is, and all documents are read for each part.
     """
     items = cut(benchmark_items(benchmark, item_id, item_text, width))
-    facts = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("shingles"), F.collect_set("width").alias("widths")).first()
+    facts = items.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.collect_set("width").alias("widths")).first()
     per_item = sum(bits + 1 for bits in BLOCK_BITS)
-    parts = max(1, math.ceil(max(facts["n"] * per_item, facts["shingles"] or 0) / max_keys))
+    parts = max(1, math.ceil(max(facts["n"] * per_item, facts["words"] or 0) / max_keys))
     found = []
     for part in range(parts):
         here = items.where(F.pmod(F.xxhash64("item", "item_id"), F.lit(parts)) == part)
@@ -131,10 +151,18 @@ def contaminated(
 def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
     seeds = items.select(F.explode("shingles").alias("shingle"), "n").distinct()
     keys = items.select(F.explode(block_keys(F.col("print"), F.col("n"))).alias("key"), "item_id", F.col("print").alias("item_print"), F.col("shingles").alias("wanted"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), shingle_hashes(words_of(F.col(text)), width).alias("all"))
-    places = rows.select("id", "text_hash", "all", F.posexplode("all").alias("start", "shingle"))
-    windows = places.join(F.broadcast(seeds), "shingle").select(
-        "id", "text_hash", "start", "n", F.slice("all", F.col("start") + 1, F.col("n") - (width - 1)).alias("window")
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("all"))
+    # The words are cut, exploded and looked up in one generated loop; the array is copied only around a word that is found. The
+    # outer form keeps Spark from cutting all words twice, once to drop empty arrays.
+    places = rows.select("id", "text_hash", "all", F.posexplode_outer("all").alias("at", "word"))
+    low = F.greatest(F.lit(0), F.col("at") - F.col("n") + 1)
+    around = places.join(F.broadcast(anchor_words(items, similarity)), "word").select(
+        "id", "text_hash", "at", "n", low.alias("low"), F.slice("all", low + 1, F.col("at") + F.col("n") - low).alias("around")
+    )
+    around = around.withColumn("shingles", shingle_hashes(F.col("around"), width))
+    starts = around.select("id", "text_hash", "at", "n", "low", "shingles", F.posexplode_outer("shingles").alias("q", "shingle"))
+    windows = starts.where("low + q <= at").join(F.broadcast(seeds), ["shingle", "n"]).select(
+        "id", "text_hash", (F.col("low") + F.col("q")).alias("start"), "n", F.slice("shingles", F.col("q") + 1, F.col("n") - (width - 1)).alias("window")
     )
     prints = windows.withColumn("print", window_fingerprint(F.col("window")))
     probes = prints.withColumn("key", F.explode(block_keys(F.col("print"), F.col("n"))))
@@ -148,5 +176,8 @@ def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: i
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs``, with its columns, but for those that hold a benchmark item."""
-    leaks = contaminated(docs, benchmark, doc_id, text, **settings).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(leaks, same(F.col(doc_id), F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    own_id, own_hash = unused(docs, "_id", "_hash")
+    leaks = contaminated(docs, benchmark, doc_id, text, **settings).select(
+        F.col("id").alias(own_id), F.col("text_hash").alias(own_hash)
+    ).distinct()
+    return docs.join(leaks, same(F.col(doc_id), F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left_anti")
