@@ -24,10 +24,10 @@ class MinedHistory:
 
 
 def mine_history(logs: DataFrame, as_of: Column | dt.datetime | str) -> MinedHistory:
-    """Parses the logs once, into a written table that all results are made from."""
+    """Parses the logs once and makes the history once, into written tables that all results are made from."""
     blocks = materialize(parse_blocks(logs), "commit_blocks")
     commits = commits_of(blocks)
-    history = file_history(commit_files(commits), as_of)
+    history = materialize(file_history(commit_files(commits), as_of), "file_history")
     repositories, status = repo_summary(commits, history), repo_status(blocks)
     return MinedHistory(history, repositories, status, history_run_summary(repositories, status))
 
@@ -35,4 +35,5 @@ def mine_history(logs: DataFrame, as_of: Column | dt.datetime | str) -> MinedHis
 def write_history(mined: MinedHistory, folder: str) -> None:
     write_table(mined.history, f"{folder}/file_history", FILE_HISTORY.names)
     write_json(mined.repositories, f"{folder}/repositories")
+    write_json(mined.status, f"{folder}/status")
     write_json(mined.summary, f"{folder}/summary")

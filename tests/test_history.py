@@ -34,6 +34,7 @@ def logs(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("logs")
     (folder / "one.log").write_text(LOG)
     (folder / "two.v2.log").write_text("__COMMIT__|only|header\n")
+    (folder / "three.log").write_text("")
     return read_git_logs(spark, [f"file://{folder}/*.log", f"file://{folder}/absent.txt"])
 
 
@@ -50,7 +51,8 @@ def test_parse(logs):
 def test_status(logs):
     rows = {r["repo_name"]: r for r in H.repo_status(H.parse_blocks(logs)).collect()}
     assert (rows["one"]["blocks"], rows["one"]["bad_blocks"], rows["one"]["status"]) == (5, 1, "analyzed")
-    assert rows["two.v2"]["status"] == "skipped"
+    assert (rows["two.v2"]["blocks"], rows["two.v2"]["bad_blocks"], rows["two.v2"]["status"]) == (1, 1, "analyzed")
+    assert all((rows[r]["blocks"], rows[r]["status"]) == (0, "skipped") for r in ("three", "absent")) and len(rows) == 4
 
 
 def test_file_history(logs):
@@ -90,8 +92,9 @@ def test_summaries(spark, logs, tmp_path):
     assert (repo["repo_name"], repo["commits_processed"], repo["commit_file_events"], repo["files_with_history"]) == (
         "one", 4, 4, 3)
     total = mined.summary.first()
-    assert (total["repositories_analyzed"], total["repositories_skipped"], total["files_with_history"]) == (1, 1, 3)
+    assert (total["repositories_analyzed"], total["repositories_skipped"], total["files_with_history"]) == (2, 2, 3)
     write_history(mined, f"file://{tmp_path}/out")
     header = spark.read.csv(f"file://{tmp_path}/out/file_history", header=True)
     assert header.columns == FILE_HISTORY.names and header.count() == 3
     assert spark.read.json(f"file://{tmp_path}/out/summary").first()["files_with_history"] == 3
+    assert spark.read.json(f"file://{tmp_path}/out/status").where("status = 'skipped'").count() == 2
