@@ -22,7 +22,7 @@ from defectlens.llm.common import all_columns, unused
 WINDOW, STRIDE = 32, 16  # words
 WORD = re.compile(r"[^\W_]+")
 TEXT_PART = 1 << 18  # words of a text whose windows are scored at a time
-KNOWN = 100_000  # words whose inputs a worker remembers; then it starts afresh
+KNOWN = 250_000  # words whose inputs a worker remembers; then it starts afresh
 ROWS = 2048  # windows that pass the network at once
 
 
@@ -47,18 +47,36 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _hash(piece: str, buckets: int) -> int:
-    return zlib.crc32(piece.encode("utf-8", "surrogatepass")) % buckets
+def _hash(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
 
-def pieces_of(word: str, buckets: int) -> list[int]:
-    """Hashes of the sequences of 3 to 5 characters of a word with its ends marked; only the ends of a very long word."""
-    marked = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
-    return [_hash(marked[i : i + n], buckets) for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))]
+def pieces_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first of each word) of the sequences of 3 to 5 characters of words with their ends marked, word by word.
+
+    Of a very long word only the ends count; an empty one is a space.
+    """
+    marked = [f"^{w or ' '}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    sizes = np.array([len(m) for m in marked])
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    hashes, owners = [], []
+    for n in (3, 4, 5):
+        inside = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+        mixed = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            mixed = (mixed ^ codes[inside + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        hashes.append((mixed % np.uint64(buckets)).astype(np.int64))
+        owners.append(owner[inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=len(words))
+    return np.concatenate(hashes)[order], np.concatenate(([0], np.cumsum(counts)[:-1]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def windows_of(n_words: int) -> list[tuple[int, int]]:
@@ -81,44 +99,47 @@ class Network:
             "out_b": np.full(1, -1, np.float32),
         }
 
-    def inputs(self, words: list[str], pieces: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, word hashes, piece hashes, first piece of each word); ``pieces`` saves hashing again."""
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, word hashes, piece hashes, first piece of each word)."""
         b = self.settings.buckets
         if not words:
             return np.zeros((0, 2 * self.settings.size), np.float32), *[np.zeros(0, np.int64)] * 3
         hashes = np.array([_hash(w, b) for w in words])
-        lists = [pieces_of(w, b) for w in words] if pieces is None else [pieces[w] for w in words]
-        sizes = np.array([len(x) for x in lists])
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        flat = np.array([x for one in lists for x in one])
-        chars = np.add.reduceat(self.p["char"][flat], first, axis=0) / sizes[:, None]
+        flat, first = pieces_of(words, b)
+        sizes = np.diff(np.r_[first, len(flat)])
+        chars = np.add.reduceat(self.p["char"][flat], first, axis=0) / sizes[:, None].astype(np.float32)
         return np.concatenate((self.p["word"][hashes], chars), axis=1), hashes, flat, first
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
-        """What the recurrent passes read of each word, (words, directions, gates)."""
-        return np.stack([inputs @ self.p["in"][k] + self.p["bias"][k] for k in (0, 1)], axis=1)
+        """What the recurrent passes read of each word, (directions, words, gates)."""
+        return np.stack([inputs @ self.p["in"][k] + self.p["bias"][k] for k in (0, 1)])
 
-    def _pass(self, read: np.ndarray, mask: np.ndarray, k: int, keep: list | None) -> np.ndarray:
+    def _pass(self, table: np.ndarray, at: np.ndarray, mask: np.ndarray, k: int, keep: list | None) -> np.ndarray:
         """States of one direction, (steps, windows, size)."""
         d, u = self.settings.size, self.p["rec"][k]
-        steps = range(len(read)) if k == 0 else range(len(read) - 1, -1, -1)
-        h, states = np.zeros((read.shape[1], d), np.float32), np.empty((len(read), read.shape[1], d), np.float32)
+        steps = range(len(at)) if k == 0 else range(len(at) - 1, -1, -1)
+        h, states = np.zeros((at.shape[1], d), table.dtype), np.empty((*at.shape, d), table.dtype)
         for t in steps:
-            inner = h @ u
-            gates = sigmoid(read[t, :, : 2 * d] + inner[:, : 2 * d])
+            read, inner = table[k].take(at[t], axis=0), h @ u
+            gates = read[:, : 2 * d] + inner[:, : 2 * d]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             z, r = gates[:, :d], gates[:, d:]
-            new = np.tanh(read[t, :, 2 * d :] + r * inner[:, 2 * d :])
-            on = mask[t][:, None]
+            new = r * inner[:, 2 * d :]
+            new += read[:, 2 * d :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((t, h, inner, z, r, new))
-            h = h + on * (1 - z) * (new - h)
+            h = h + mask[t][:, None] * (1 - z) * (new - h)
             states[t] = h
         return states
 
     def forward(self, table: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows ``at`` (steps, windows) into ``table`` of projected words; ``mask`` is 0 where there is no word."""
+        """Logits of windows ``at`` (steps, windows) into the projected words of ``table``; ``mask`` is 0 where there is no word."""
         kept = ([], []) if keep is not None else (None, None)
-        states = np.concatenate([self._pass(table[at, k], mask, k, kept[k]) for k in (0, 1)], axis=2)
+        states = np.concatenate([self._pass(table, at, mask, k, kept[k]) for k in (0, 1)], axis=2)
         seen = np.tanh(states @ self.p["att"])
         weight = np.exp(np.clip(seen @ self.p["att_v"], -30, 30)) * mask
         weight /= np.maximum(weight.sum(0), 1e-9)
@@ -139,7 +160,7 @@ class Network:
         g["att_v"] = np.einsum("tb,tba->a", to_score, seen)
         g["att"] = np.einsum("tbd,tba->da", states, to_seen)
         to_states = weight[:, :, None] * to_pooled + to_seen @ p["att"].T
-        g["rec"], g["table"] = np.zeros_like(p["rec"]), np.zeros((table_size, 2, 3 * d), np.float32)
+        g["rec"], g["table"] = np.zeros_like(p["rec"]), np.zeros((2, table_size, 3 * d), np.float32)
         for k in (0, 1):
             to_h = np.zeros_like(pooled[:, :d])
             for t, h, inner, z, r, new in reversed(keep["kept"][k]):
@@ -151,14 +172,14 @@ class Network:
                 to_read = np.concatenate((to_z, to_r, to_new), axis=1)
                 to_inner = np.concatenate((to_z, to_r, to_new * r), axis=1)
                 g["rec"][k] += h.T @ to_inner
-                np.add.at(g["table"][:, k], at[t], to_read)
+                np.add.at(g["table"][k], at[t], to_read)
                 to_h = to_h * (1 - on * (1 - z)) + to_inner @ p["rec"][k].T
         return g
 
-    def step(self, texts: list[list[str]], labels: np.ndarray, state: dict, highest: bool, rng: np.random.Generator, pieces: dict) -> None:
+    def step(self, texts: list[list[str]], labels: np.ndarray, state: dict, highest: bool, rng: np.random.Generator) -> None:
         """One step of Adam on one window of each text."""
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        inputs, hashes, flat, first = self.inputs(list(vocab), pieces)
+        inputs, hashes, flat, first = self.inputs(list(vocab))
         table = self.project(inputs)
         spans = [(i, a, b) for i, t in enumerate(texts) for a, b in windows_of(len(t))]
         at, mask = _layout([[vocab[w] for w in texts[i][a:b]] for i, a, b in spans])
@@ -169,11 +190,11 @@ class Network:
         at, mask = at[:, chosen], mask[:, chosen]
         keep: dict = {}
         slope = (sigmoid(self.forward(table, at, mask, keep)) - labels).astype(np.float32) / len(texts)
-        g = self.backward(len(table), at, mask, keep, slope)
+        g = self.backward(table.shape[1], at, mask, keep, slope)
         to_table = g.pop("table")
-        g["in"] = np.stack([inputs.T @ to_table[:, k] for k in (0, 1)])
-        g["bias"] = to_table.sum(0)
-        to_inputs = sum(to_table[:, k] @ self.p["in"][k].T for k in (0, 1))
+        g["in"] = np.stack([inputs.T @ to_table[k] for k in (0, 1)])
+        g["bias"] = to_table.sum(1)
+        to_inputs = sum(to_table[k] @ self.p["in"][k].T for k in (0, 1))
         d = self.settings.size
         sizes = np.diff(np.r_[first, len(flat)])
         used = np.flatnonzero(np.abs(to_inputs).sum(1))  # words of the chosen windows
@@ -217,12 +238,11 @@ class Model:
     def _fit(self, settings: Settings, texts: list[list[str]], labels: np.ndarray) -> None:
         self.network, state, rng = Network(settings), {}, np.random.default_rng(settings.seed)
         texts = [t or [""] for t in texts]
-        pieces = {w: pieces_of(w, settings.buckets) for t in texts for w in t}
         for epoch in range(settings.epochs):
             order = rng.permutation(len(texts))
             for start in range(0, len(order), settings.batch):
                 part = order[start : start + settings.batch]
-                self.network.step([texts[i] for i in part], labels[part], state, epoch >= settings.first_epochs, rng, pieces)
+                self.network.step([texts[i] for i in part], labels[part], state, epoch >= settings.first_epochs, rng)
 
 
 class Scorer:
@@ -231,7 +251,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
         d = model.network.settings.size if model.network else 1
-        self.table = np.zeros((KNOWN + TEXT_PART + 1, 2, 3 * d), np.float32)
+        self.table = np.zeros((2, KNOWN + TEXT_PART + 1, 3 * d), np.float32)
 
     def score_all(self, texts: list[str]) -> list[float]:
         if self.model.network is None:
@@ -263,7 +283,7 @@ class Scorer:
         fresh = list({w for part in parts for w in part if w not in known})
         for start in range(0, len(fresh), 10_000):
             some = fresh[start : start + 10_000]
-            self.table[len(known) : len(known) + len(some)] = network.project(network.inputs(some)[0])
+            self.table[:, len(known) : len(known) + len(some)] = network.project(network.inputs(some)[0])
             known.update(zip(some, range(len(known), len(known) + len(some))))
         flat = np.array([known[w] for part in parts for w in part])
         offset, starts, sizes, owner = 0, [], [], []

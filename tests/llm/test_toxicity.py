@@ -41,7 +41,7 @@ def test_gradient(model):
     net = T.Network(T.Settings(buckets=64, size=3))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     at, mask = T._layout([[0, 1, 2, 1], [3], [2, 2]])
-    table = np.random.default_rng(0).standard_normal((4, 2, 9))
+    table = np.random.default_rng(0).standard_normal((2, 4, 9))
     weights = np.array([0.5, -1.0, 2.0])
     keep = {}
     net.forward(table, at, mask, keep)
