@@ -7,9 +7,9 @@ import string
 from collections.abc import Iterator
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from defectlens.session import shared_folder
+from defectlens.session import new_table_path, shared_folder
 
 WHITE = re.compile(rb"[\x20\x09-\x0d]")
 BLOCK = 1 << 20  # bytes of a text whose words are held at a time
@@ -41,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """Tables that a job writes to the shared folder for its own use, densely packed, and deletes when its result is made."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_table_path(self.spark, name))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

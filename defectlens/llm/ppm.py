@@ -15,6 +15,7 @@ and a batch is sent only the grams and words that occur in it.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,17 +24,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from defectlens.llm.common import cut, shuffle_partitions
-from defectlens.session import materialize
+from defectlens.llm.common import Stored, cut, shuffle_partitions
 
 ORDER, TOP = 5, 2  # bytes of the longest context, and of the longest one that all branches share
 START, END = 0xFF, 0xFE  # never in UTF-8
+GRAM, WORD, FIRST = 0, 1, 2  # what a fact is about; the first batch of a word counts it
 SYMBOLS = 257  # all bytes and the end; what a text can be made of
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 32 << 20  # and so the size of a batch's words and grams
 GROUP = 200_000  # grams that are worked on together, unless a branch has more
 CHUNK = 1 << 20  # bytes whose grams are made at a time
-WORDS = 1_000_000  # distinct words that a batch counts before it hands them on
 ROWS = 100_000  # rows handed to Spark at a time
+FACTS = 2_000_000  # facts that a partition packs together
+BLOCK_BYTES = 1 << 20  # of texts that are compressed together
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -67,14 +69,12 @@ def _words(data: bytes) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch number in the partition: its grams and words with their counts in training texts, 0 for those only held out."""
+    """Of each batch in the partition: its distinct grams and words in order, and their counts in training texts, 0 for those only held out."""
     tallies: dict[int, _Tally] = {}
     for batch in batches:
         for number, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             tally = tallies.setdefault(number, _Tally())
             tally.add((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), train)
-            if len(tally.words) > WORDS:
-                yield from tallies.pop(number).rows(number)
     for number in list(tallies):
         yield from tallies.pop(number).rows(number)
 
@@ -105,22 +105,86 @@ class _Tally:
                 held.clear()
         self.parts, self.size = [_merged(self.parts)], 0
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The grams, their counts, and the words, in order: both passes over a batch number them alike."""
         self._fold()
-        keys, counts = self.parts[0]
-        for start in range(0, len(keys), ROWS):
-            yield _rows(number, keys[start : start + ROWS], counts[start : start + ROWS], None)
-        names, counts = list(self.words), np.fromiter(self.words.values(), np.int64, len(self.words))
-        for start in range(0, len(names), ROWS):
-            yield _rows(number, None, counts[start : start + ROWS], names[start : start + ROWS])
+        return *self.parts[0], sorted(self.words)
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        keys, counts, words = self.distinct()
+        for start in range(0, max(len(keys), len(words)), ROWS):
+            end = start + ROWS
+            yield _rows(number, start, keys[start:end], counts[start:end], None)
+            yield _rows(number, start, None, np.array([self.words[w] for w in words[start:end]], np.int64), words[start:end])
 
 
-def _rows(number: int, grams: np.ndarray | None, counts: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
+def _rows(number: int, start: int, grams: np.ndarray | None, counts: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
     n = len(counts)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, number, np.int64)), pa.nulls(n, pa.int64()) if grams is None else pa.array(grams),
+        pa.array(np.full(n, number, np.int64)), pa.array(np.arange(start, start + n, dtype=np.int32)),
+        pa.nulls(n, pa.int64()) if grams is None else pa.array(grams),
         pa.nulls(n, pa.binary()) if words is None else pa.array(words, pa.binary()), pa.array(counts),
-    ], names=["batch", "gram", "word", "n"])
+    ], names=["batch", "at", "gram", "word", "n"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a batch in compressed blocks, which shuffle at a third of the size."""
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        for number in np.unique(numbers):
+            rows = pa.table(batch.select(["id", "t", "train"])).filter(pa.array(numbers == number))
+            step = max(1, int(len(rows) * BLOCK_BYTES / max(1, rows.nbytes)))
+            for start in range(0, len(rows), step):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as stream:
+                    stream.write_table(rows.slice(start, step).combine_chunks())
+                block = zlib.compress(sink.getvalue(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block], pa.binary())], names=["batch", "block"])
+
+
+def _unpack(blocks: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(zlib.decompress(b.as_py())).read_all() for b in blocks.column("block")])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts (batch, at, kind, value) of a partition, packed by batch: they shuffle at a fourth of the size."""
+    held, size = [], 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        number, at, kind, value = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((at, kind == GRAM, number))
+        number, at, kind, value = number[order], at[order], kind[order], value[order]
+        edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+        blocks = [_pack_facts(at[a:b], kind[a:b], value[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]]), pa.array(blocks, pa.binary())], names=["batch", "facts"])
+
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size > FACTS:
+            yield from packed()
+            held, size = [], 0
+    if size:
+        yield from packed()
+
+
+def _pack_facts(at: np.ndarray, kind: np.ndarray, value: np.ndarray) -> bytes:
+    gram = kind == GRAM
+    parts = (
+        np.array([gram.sum(), len(at) - gram.sum()], np.int32), np.diff(at[gram], prepend=0).astype(np.int32), value[gram].astype(np.float32),
+        np.diff(at[~gram], prepend=0).astype(np.int32), value[~gram].astype(np.int64), kind[~gram].astype(np.int8),
+    )
+    return zlib.compress(b"".join(p.tobytes() for p in parts), 1)
+
+
+def _unpack_facts(block: bytes) -> tuple[np.ndarray, ...]:
+    """(gram places, log probabilities, word places, counts, kinds)."""
+    data, out, start = zlib.decompress(block), [], 8
+    grams, words = np.frombuffer(data, np.int32, 2)
+    for n, form in ((grams, np.int32), (grams, np.float32), (words, np.int32), (words, np.int64), (words, np.int8)):
+        out.append(np.frombuffer(data, form, n, start))
+        start += int(n) * np.dtype(form).itemsize
+    return np.cumsum(out[0]), out[1], np.cumsum(out[2]), out[3], out[4]
 
 
 class _Level:
@@ -217,9 +281,10 @@ def score_texts(
     texts = dealt.select("batch", "t", "train")
     if splits["unnamed"]:
         texts = texts.repartition(max(parts, shuffle_partitions(docs)), "batch")
-    counted = materialize(texts.mapInArrow(_count, "batch long, gram long, word binary, n long"), "lm_counts")
+    stored = Stored(docs.sparkSession)
+    counted = stored.keep(texts.mapInArrow(_count, "batch long, at int, gram long, word binary, n long"), "lm_counts")
 
-    grams = materialize(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "lm_grams")
+    grams = stored.keep(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "lm_grams")
     seen = grams.where("n > 0").select(F.col("gram").bitwiseAND((1 << 8 * (TOP + 2)) - 1).alias("gram")).distinct()
     shared = seen.groupBy(F.col("gram").bitwiseAND((1 << 8 * (TOP + 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     shared = shared.toArrow()  # at most 2^24 rows
@@ -234,42 +299,48 @@ def score_texts(
     groups = max(1, math.ceil(grams.count() / GROUP))
     known = grams.groupBy(F.pmod(F.xxhash64(branch), F.lit(groups)).alias("group")).applyInArrow(branches, "gram long, p float")
 
-    needs = counted.where("gram is not null").select("batch", "gram").join(known, "gram").select(
-        "batch", "gram", F.lit(None).cast("binary").alias("word"), "p", F.lit(None).cast("long").alias("c"), F.lit(False).alias("first")
+    needs = counted.where("gram is not null").select("batch", "at", "gram").join(known, "gram").select(
+        "batch", "at", F.lit(GRAM).cast("byte").alias("kind"), F.col("p").cast("double").alias("value")
     )
     whole = Window.partitionBy("word")
     asked = counted.where("word is not null").select(
-        "batch", F.lit(None).cast("long").alias("gram"), "word", F.lit(None).cast("float").alias("p"), F.sum("n").over(whole).alias("c"),
-        (F.row_number().over(whole.orderBy("batch", "n")) == 1).alias("first"),
+        "batch", "at", F.when(F.row_number().over(whole.orderBy("batch")) == 1, FIRST).otherwise(WORD).cast("byte").alias("kind"),
+        F.sum("n").over(whole).cast("double").alias("value"),
     )
-    facts = needs.unionByName(asked)
-
-    def score(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        is_word = known.column("gram").is_null()
-        named, numbered = known.filter(is_word), known.filter(pc.invert(is_word))
-        keys, p = numbered.column("gram").to_numpy(), numbered.column("p").to_numpy()
-        order = np.argsort(keys)
-        keys, p = keys[order], p[order]
-        counts = named.column("c").to_numpy()
-        worth = dict(zip(named.column("word").to_pylist(), np.log10(counts + 1.0).tolist()))
-        new = int(((counts > 0) & named.column("first").to_numpy(zero_copy_only=False)).sum())
+    facts = needs.unionByName(asked).mapInArrow(_gather, "batch long, facts binary")
+
+    def score(key: tuple, blocks: pa.Table, known: pa.Table) -> pa.Table:
+        texts = _unpack(blocks)
+        train = texts.column("train").to_numpy(zero_copy_only=False)
+        encoded = [t.as_py().encode("utf-8", "surrogatepass").lower() for t in texts.column("t")]
+        tally = _Tally()
+        for data in encoded:
+            tally.add(data, False)
+        grams, _, words = tally.distinct()
+        p, c, new = np.zeros(len(grams)), np.zeros(len(words)), 0
+        for block in known.column("facts"):
+            gram_at, gram_p, word_at, word_c, kinds = _unpack_facts(block.as_py())
+            p[gram_at], c[word_at] = gram_p, word_c
+            new += int(((kinds == FIRST) & (word_c > 0)).sum())
+        worth = dict(zip(words, np.log10(c + 1).tolist()))
         rows = []
-        for text in texts.column("t"):
-            data = text.as_py().encode("utf-8", "surrogatepass").lower()
+        for data in encoded:
             values = [worth[w] for w in _words(data)]
             rows.append((
                 len(values), sum(map(bool, values)), math.fsum(values),
-                sum(float(p[np.searchsorted(keys, gram)].sum(dtype=np.float64)) for gram in grams_of(data)),
+                sum(float(p[np.searchsorted(grams, gram)].sum()) for gram in grams_of(data)),
             ))
-        column = lambda i, kind: pa.array([r[i] for r in rows], kind)
+        column = lambda i, form: pa.array([r[i] for r in rows], form)
         return pa.table({
             "id": texts.column("id"), "held_out": pc.invert(texts.column("train")), "n_words": column(0, pa.int64()), "n_seen": column(1, pa.int64()),
             "worth": column(2, pa.float64()), "score": column(3, pa.float64()), "new": pa.array([new] + [0] * (len(rows) - 1), pa.int64()),
-            "trained": pa.array(np.where(texts.column("train").to_numpy(zero_copy_only=False), column(0, pa.int64()).to_numpy(), 0)),
+            "trained": pa.array(np.where(train, column(0, pa.int64()).to_numpy(), 0)),
         })
 
     schema = "id long, held_out boolean, n_words long, n_seen long, worth double, score double, new long, trained long"
-    scored = cut(dealt.groupBy("batch").cogroup(facts.groupBy("batch")).applyInArrow(score, schema))
+    blocks = dealt.mapInArrow(_pack, "batch long, block binary")
+    scored = cut(blocks.groupBy("batch").cogroup(facts.groupBy("batch")).applyInArrow(score, schema))
+    stored.drop()
     sums = scored.agg(F.sum("trained").alias("words"), F.sum("new").alias("distinct")).first()
     ends = splits["ends"] or 0
     tokens, distinct = (sums["words"] or 0) + ends, (sums["distinct"] or 0) + (ends > 0)
