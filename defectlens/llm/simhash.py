@@ -54,7 +54,7 @@ def fingerprint(text: str | None, width: int = 3, block: int = BLOCK) -> int:
         if len(words) >= width:
             first = False
             for start in range(0, len(words) - width + 1, HASHES):
-                hashes = _shingle_hashes(words[start : start + HASHES + width - 1], width)
+                hashes = shingle_hashes(words[start : start + HASHES + width - 1], width)
                 counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 total += len(hashes)
         tail = words[len(words) - width + 1 :] if len(words) >= width else words
@@ -63,7 +63,7 @@ def fingerprint(text: str | None, width: int = 3, block: int = BLOCK) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
-def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
@@ -137,11 +137,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Of rows equal in id and text one stays; rows of one id in different components are different documents.
     """
     found = near_duplicates(docs, doc_id, text, width)
-    own_id, own_hash, key = unused(docs, "_id", "_hash", "_key")
     smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))  # null ids come last
-    chosen = found.groupBy("root").agg(smallest.alias("best")).select(
-        F.col("best.id").alias(own_id), F.col("best.text_hash").alias(own_hash)
-    )
+    return first_of_each(docs, found.groupBy("root").agg(smallest.alias("best")), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``best`` (id, text_hash) of a group names, each once."""
+    own_id, own_hash, key = unused(docs, "_id", "_hash", "_key")
+    chosen = groups.select(F.col("best.id").alias(own_id), F.col("best.text_hash").alias(own_hash))
     kept = docs.withColumn(key, F.xxhash64(text)).join(
         chosen, same(F.col(doc_id).cast("long"), F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left_semi"
     )
