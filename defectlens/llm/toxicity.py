@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters, in numpy.
 
-A word enters as the embedding of its hash next to the mean embedding of its character sequences. Two recurrent passes read a
+A word, or a piece of a very long one, enters as the embedding of its hash next to the mean embedding of its character sequences. Two recurrent passes read a
 window of words, attention pools their states, and a logistic unit scores the window. Windows overlap by half and a text's
 score is that of its highest window, so a long text is judged like a short one.
 """
@@ -21,6 +21,7 @@ from defectlens.llm.common import all_columns, unused
 
 WINDOW, STRIDE = 32, 16  # words
 WORD = re.compile(r"[^\W_]+")
+LONGEST, SHARED = 40, 4  # characters; every sequence of up to five lies in one piece
 TEXT_PART = 1 << 18  # words of a text whose windows are scored at a time
 KNOWN = 250_000  # words whose inputs a worker remembers; then it starts afresh
 ROWS = 2048  # windows that pass the network at once
@@ -43,8 +44,12 @@ class Settings:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits, lower-cased."""
-    return WORD.findall(text.lower())
+    """Runs of letters and digits, lower-cased; a longer one is cut into pieces of ``LONGEST`` characters that overlap by ``SHARED``."""
+    found = WORD.findall(text.lower())
+    if not found or max(map(len, found)) <= LONGEST:
+        return found
+    step = LONGEST - SHARED
+    return [w[a : a + LONGEST] for w in found for a in range(0, max(1, len(w) - SHARED), step)]
 
 
 def _hash(word: str, buckets: int) -> int:
@@ -54,9 +59,9 @@ def _hash(word: str, buckets: int) -> int:
 def pieces_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first of each word) of the sequences of 3 to 5 characters of words with their ends marked, word by word.
 
-    Of a very long word only the ends count; an empty one is a space.
+    An empty word is a space.
     """
-    marked = [f"^{w or ' '}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    marked = [f"^{w or ' '}$" for w in words]
     sizes = np.array([len(m) for m in marked])
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)

@@ -98,3 +98,17 @@ def test_fit_reads_no_held_out_label(spark):
     assert found.network is None and found.share == 0.0
     nothing = T.fit(docs.limit(0), labels.limit(0), SMALL)
     assert T.Scorer(nothing).score_all(["a", ""]) == [0.0, 0.0]
+
+
+def test_the_middle_of_a_long_word_counts(model):
+    rng = random.Random(6)
+    for n in (1, 39, 40, 41, 44, 45, 76, 77, 500):
+        run = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+        pieces = T.words_of(f"a {run} b")
+        assert pieces[0] == "a" and pieces[-1] == "b" and max(map(len, pieces)) <= T.LONGEST
+        for k in (3, 4, 5):
+            assert {run[i : i + k] for i in range(n - k + 1)} <= {p[i : i + k] for p in pieces for i in range(len(p) - k + 1)}
+    clean = "taromilek" * 40
+    toxic = clean[:180] + "vexrovextavexmivexpan" * 20 + clean[180:]  # both ends stay as they are
+    low, high = T.Scorer(model).score_all([clean, toxic])
+    assert low < 0.3 <= high
