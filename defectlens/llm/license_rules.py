@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-# label | keyword | identifier | name
+# label | keyword of the name, if all its spellings hold it | identifier | name
 LICENSES = r"""
 mit | mit | mit | (?:the )?mit (?:x11 )?licen[sc]e
 mit-0 | mit | mit 0 | mit no attribution(?: licen[sc]e)?
@@ -108,17 +108,55 @@ class Rule(NamedTuple):
     pattern: str
 
 
-STEMS = ("licen", "spdx", " under ", "cc by", "cc0", "public domain", "rights reserved")
+STEMS = ("licen", "spdx", " under ", "cc by", "cc0", "public domain", "rights reserved", "creative commons", "mit no attribution")
 SCORES = (1.0, 0.9, 0.6)  # by tier
 
 
+def spellings(pattern: str) -> set[str]:
+    """All texts that a pattern of letters, (?:a|b), [ab] and ? matches."""
+
+    def either(at: int) -> tuple[set[str], int]:
+        found, row = set(), {""}
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                found, row, at = found | row, {""}, at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                some, at = either(at + 3)
+                at += 1
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                some, at = set(pattern[at + 1 : end]), end + 1
+            else:
+                some, at = {pattern[at]}, at + 1
+            if pattern.startswith("?", at):
+                some, at = some | {""}, at + 1
+            row = {a + b for a in row for b in some}
+        return found | row, at
+
+    return either(0)[0]
+
+
+def shared_literal(texts: set[str]) -> str:
+    """The longest text that all of them contain."""
+    short = min(texts, key=len)
+    parts = (short[a : a + n] for n in range(len(short), 0, -1) for a in range(len(short) - n + 1))
+    return next(p for p in parts if all(p in t for t in texts))
+
+
 def rules() -> list[Rule]:
-    """Identifier, grant and bare name of each licence, in the order of the table."""
+    """Identifier, granted name, granted identifier and bare name of each licence, in the order of the table.
+
+    Whatever a rule's pattern matches contains its stem and its keyword.
+    """
     found = []
     for line in LICENSES.strip().splitlines():
         label, keyword, identifier, name = (part.strip() for part in line.split(" | "))
-        bare = next((s for s in STEMS if s in name), "licen")
-        found.append(Rule(label, "spdx", identifier.split("(")[0].split("[")[0].strip(), 0, SPDX + identifier))
-        found.append(Rule(label, " under ", keyword, 1, GRANT + f"(?:{name}|{identifier})"))
-        found.append(Rule(label, bare, keyword, 2, name))
+        names, of_identifier = spellings(name), shared_literal(spellings(identifier))
+        of_name = keyword if all(keyword in n for n in names) else shared_literal(names)
+        bare = next(s for s in STEMS if all(s in n for n in names))
+        found.append(Rule(label, "spdx", of_identifier, 0, SPDX + f"(?:{identifier})"))
+        found.append(Rule(label, " under ", of_name, 1, GRANT + f"(?:{name})"))
+        found.append(Rule(label, " under ", of_identifier, 1, GRANT + f"(?:{identifier})"))
+        found.append(Rule(label, bare, of_name, 2, name))
     return found

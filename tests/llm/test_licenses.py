@@ -1,7 +1,7 @@
 import re
 
 from defectlens.llm import licenses
-from defectlens.llm.license_rules import PHRASES, SCORES, STEMS, rules
+from defectlens.llm.license_rules import LICENSES, PHRASES, SCORES, STEMS, rules, spellings
 
 SCHEMA = "doc_id long, text string, id string, base string, row string, n_words string"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,3 +69,27 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = licenses.scan_licenses(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("CartesianProduct", "NestedLoop", "Python", "Pandas", "ArrowEval"))
+
+
+UNGATED = [
+    "Licensed under the GPL-3.0-or-later", "released under MPL 2.0", "distributed under EPL-2.0", "licensed under CDDL 1.0 or EUPL-1.2", "available under OSL-3.0",
+    "provided under AFL 3.0", "released under BSL-1.0", "covered under SSPL 1.0", "published under ODbL 1.0", "licensed under OFL-1.1", "released under WTFPL",
+    "PSF License", "Creative Commons Attribution ShareAlike 4.0", "MIT No Attribution", "SPDX-License-Identifier: PHP-3.01", "SPDX-License-Identifier: PHP-3.0",
+    "released under cc by 4.0", "released under the MIT", "released under the MIT license",
+]
+
+
+def test_no_gate_hides_a_match(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "rules", lambda real=rules: [r._replace(stem="", keyword="") for r in real()])
+    check(spark, [(i, t) for i, t in enumerate(UNGATED)])
+    assert all(brute(t)[6] for t in UNGATED)
+
+
+def test_every_spelling_of_a_rule_passes_its_gates():
+    for line in LICENSES.strip().splitlines():
+        label, _, identifier, name = (part.strip() for part in line.split(" | "))
+        texts = [f" spdx license identifier {i} " for i in spellings(identifier)]
+        texts += [f" licensed under {n} " for n in spellings(identifier) | spellings(name)] + [f" {n} " for n in spellings(name)]
+        for r in (r for r in rules() if r.label == label):
+            for t in texts:
+                assert not re.search(f"(?<= )(?:{r.pattern})(?= )", t) or (r.stem in t and r.keyword in t), (r, t)
