@@ -42,10 +42,9 @@ def b1(spark, sf_dir):
 
 
 @query("b2_b3_file_id", paths_sql(
-    "SELECT event_id, 'data/repos/r' || (event_id % 5) || '/' || path AS file_id, path AS static_id FROM normal "
-    "WHERE path NOT LIKE '.%'"))
+    "SELECT event_id, 'data/repos/r' || (event_id % 5) || '/' || path AS file_id, path AS static_id FROM normal"))
 def b2(spark, sf_dir):
-    rows = raw_paths(spark, sf_dir).where(~P.norm_path("path").startswith("."))
+    rows = raw_paths(spark, sf_dir)
     repo = F.expr("concat('r', event_id % 5)")
     return rows.select("event_id", P.file_id(repo, "path").alias("file_id"), P.norm_path("path").alias("static_id"))
 

@@ -382,15 +382,15 @@ def j2(spark, sf_dir):
 @query("c7_prediction_rows", with_views(["scored"], """
   SELECT 'random_forest' AS model_name, 'static_only' AS feature_set, CAST(0.5 AS DOUBLE) AS threshold,
          CAST(bug_probability >= 0.5 AS INTEGER) AS predicted_bug_label, repo_name, file, file_id, function_id, function,
-         language, nloc, ccn, params, length, radon_cc, bug_probability, 'none' AS absent
-  FROM scored WHERE bug_probability IS NOT NULL"""))
+         language, nloc, ccn, params, length, radon_cc, bug_label, bug_probability, 'none' AS absent
+  FROM scored"""))
 def c7(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("bug_probability IS NOT NULL")
+    rows = scored(spark, sf_dir)
     rows = rows.withColumn("predicted_bug_label", (F.col("bug_probability") >= 0.5).cast("int"))
     out = T.prediction_rows(rows, "random_forest", "static_only", 0.5)
     absent = ["commit_count", "total_churn", "days_since_last_change", "late_night_ratio", "burstiness_score"]
     none = F.when(F.coalesce(*[F.col(c).cast("string") for c in absent]).isNull(), "none")
-    return out.withColumn("absent", none).drop("bug_label", *absent)
+    return out.withColumn("absent", none).drop(*absent)
 
 
 @query("c8_prediction_rows_short", with_views(["scored"], """

@@ -34,11 +34,26 @@ def _facts(parsed, *more):
     )
 
 
-@query("a5_read_git_logs", "SELECT * EXCLUDE (repo_name) FROM (" + PARSED + ")")
+def _named_logs(spark, folder):
+    """Moves the one file of each repository's folder to a name of its own, as exported logs have it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    logs = []
+    for status in system.globStatus(hadoop(f"{folder}/repo_name=*/part-*")):
+        repo = status.getPath().getParent().getName().partition("=")[2]
+        logs.append(f"{folder}-named/{repo}.log")
+        system.mkdirs(hadoop(f"{folder}-named"))
+        system.rename(status.getPath(), hadoop(logs[-1]))
+    return logs
+
+
+@query("a5_read_git_logs", PARSED)
 def a5(spark, sf_dir):
+    """One log per repository; its file is named after it."""
     path = new_table_path(spark, "commit_logs")
-    log_blocks(spark, sf_dir).select("value").write.text(path, lineSep="\n" + git_logs.MARKER)
-    return _facts(H.parse_commits(git_logs.read_git_logs(spark, path)))
+    blocks = log_blocks(spark, sf_dir).select("repo_name", "value").repartition("repo_name")
+    blocks.write.partitionBy("repo_name").text(path, lineSep="\n" + git_logs.MARKER)
+    return _facts(H.parse_commits(git_logs.read_git_logs(spark, _named_logs(spark, path))), "repo_name")
 
 
 @query("a6_repo_status", """

@@ -6,6 +6,7 @@ Each one measures the keys first and keeps Spark's ordinary plan while every gro
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,9 +18,11 @@ PREFIX_DIGITS = 3  # hex digits per refinement step: 4,096 buckets
 PICK_ROWS = 50_000  # digests that may be sorted for one pick
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of the whole row; maps, which Spark does not hash, are left out."""
-    return F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)])
+def row_hash(df: DataFrame, columns: Iterable[str] | None = None) -> Column:
+    """A hash of the whole row, or of those of ``columns`` that it has; maps, which Spark does not hash, are left out."""
+    wanted = None if columns is None else set(columns)
+    names = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType) and (wanted is None or f.name in wanted)]
+    return F.xxhash64(*names) if names else F.lit(0).cast("long")
 
 
 def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
@@ -39,10 +42,12 @@ def prefix_sums(
     measures: dict[str, Column],
     largest_group: int | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    ties: Iterable[str] | None = None,
 ) -> DataFrame:
     """Add, per measure ``m``, the sum ``m`` over the rows up to this one and the group's sum ``m_total``.
 
     Rows equal in ``order`` follow each other by the hash of the row, in both plans, so that the sums depend on the rows alone.
+    That reads every column; a caller who knows what tells its rows apart names these columns as ``ties``, and only they are read.
     With a group too big for one task the rows are range-partitioned on (group, order) instead, summed within each slice, and
     every slice gets what the slices before it carry over.
     """
@@ -51,9 +56,9 @@ def prefix_sums(
         largest_group, rows = group_sizes(df, by)
     if largest_group <= max_group_rows:
         group = Window.partitionBy(*by)
-        return df.withColumns(_sums(measures, group, [*order, row_hash(df)]))
+        return df.withColumns(_sums(measures, group, [*order, row_hash(df, ties)]))
     slices = max(2, math.ceil(rows / max_group_rows))
-    return _sliced_prefix_sums(df, by, order, measures, slices)
+    return _sliced_prefix_sums(df, by, order, measures, slices, ties)
 
 
 def _sums(measures: dict[str, Column], group: Window, order: list[Column]) -> dict[str, Column]:
@@ -63,12 +68,12 @@ def _sums(measures: dict[str, Column], group: Window, order: list[Column]) -> di
 
 
 def _sliced_prefix_sums(
-    df: DataFrame, by: list[str], order: list[Column], measures: dict[str, Column], slices: int
+    df: DataFrame, by: list[str], order: list[Column], measures: dict[str, Column], slices: int, ties: Iterable[str] | None = None
 ) -> DataFrame:
     # The slice number depends on sampled range bounds, so it is written down before two plans read it. The hash of the row,
     # last in the order, lets many rows with equal keys be cut apart, at the same place in a retried task.
     order = [*order, F.col("_row")]
-    keyed = df.withColumn("_row", row_hash(df))
+    keyed = df.withColumn("_row", row_hash(df, ties))
     placed = keyed.repartitionByRange(slices, *[F.col(c).asc() for c in by], *order)
     placed = materialize(placed.withColumn("_slice", F.spark_partition_id()), "slices")
     local = placed.withColumns(_sums(measures, Window.partitionBy("_slice", *by), order))
@@ -156,3 +161,44 @@ def kth_smallest_hex(
             buckets = hex_histogram(rest, name, len(prefix) + PREFIX_DIGITS)
         found[rank] = rest.orderBy(name).offset(left - 1).limit(1).first()[0]
     return found
+
+
+def ranked_hex(
+    df: DataFrame, group: str, name: str, wanted: Callable[[dict], dict], small: int = PICK_ROWS, width: int = 30
+) -> tuple[dict, dict]:
+    """Exact selection for all groups at once: rows per group, and per group the digest of column ``name`` at its rank.
+
+    ``wanted`` tells the rank (from 1; 0 gives ``""``) of each group from the rows per group, which the first pass counts along with
+    their digest prefixes. Every further pass refines, for all groups together, the one prefix per group that holds the rank, until
+    those left hold ``small`` rows each, which are then numbered. So small tables take two passes whatever the number of groups, and
+    larger ones one more per 4,096-fold; only prefixes and their counts reach the driver, at most 4,096 per group and pass.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(name).alias("d"))
+
+    def histogram(kept: DataFrame, digits: int) -> dict:
+        found: dict = {}
+        for r in kept.groupBy("g", F.substring("d", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+            found.setdefault(r["g"], []).append((r["p"], r["n"]))
+        return {g: sorted(cells) for g, cells in found.items()}
+
+    cells, digits = histogram(rows, PREFIX_DIGITS), PREFIX_DIGITS
+    counts = {g: sum(n for _, n in parts) for g, parts in cells.items()}
+    ranks = wanted(counts)
+    ends, open_ = {g: "" for g, rank in ranks.items() if rank <= 0}, {g: (rank, counts[g]) for g, rank in ranks.items() if rank > 0}
+    spark = df.sparkSession
+    while open_:
+        place = {}  # per group: the prefix with the rank, the rank within it, and its rows
+        for g, (left, _) in open_.items():
+            for prefix, n in cells[g]:
+                if left <= n:
+                    place[g] = prefix, left, n
+                    break
+                left -= n
+        chosen = spark.createDataFrame([(g, p, left) for g, (p, left, _) in place.items()], f"g {rows.schema['g'].dataType.simpleString()}, p string, left long")
+        kept = rows.withColumn("p", F.substring("d", 1, digits)).join(F.broadcast(chosen), ["g", "p"])  # a row per group
+        if digits >= width or all(n <= small for _, _, n in place.values()):
+            nth = kept.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("d")))
+            return counts, ends | {r["g"]: r["d"] for r in nth.where("nth = left").select("g", "d").collect()}
+        digits += PREFIX_DIGITS
+        cells, open_ = histogram(kept, digits), {g: (left, n) for g, (_, left, n) in place.items()}
+    return counts, ends

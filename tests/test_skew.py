@@ -121,3 +121,20 @@ def test_ranks_depend_on_the_rows_alone(spark):
         ranked = skew.prefix_sums(df, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=limit)
         ranks.append({r["payload"]: r["rank"] for r in ranked.collect()})
     assert all(r == ranks[0] for r in ranks) and sorted(ranks[0].values()) == list(range(1, 201))
+
+
+@pytest.mark.parametrize("small", [1, 20, 10_000])
+def test_ranked_hex_selects_for_all_groups_at_once(spark, small):
+    draw = random.Random(4)
+    data = [(g, hashlib.md5(f"{g}{i}".encode()).hexdigest()) for g in range(30) for i in range(draw.randrange(1, 80))] + [(30, "0" * 32)] * 5
+    groups = {g: sorted(d for other, d in data if other == g) for g in range(31)}
+    ranks = {g: draw.randrange(0, len(digests) + 1) for g, digests in groups.items()}
+    counts, ends = skew.ranked_hex(spark.createDataFrame(data, "g int, d string"), "g", "d", lambda sizes: ranks, small)
+    assert counts == {g: len(d) for g, d in groups.items()}
+    assert ends == {g: groups[g][rank - 1] if rank else "" for g, rank in ranks.items()}
+
+
+def test_named_ties_read_no_other_columns(spark, rows):
+    ranked = skew.prefix_sums(rows.withColumn("other", F.rand()), ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=10_000, ties=["id"])
+    same = skew.prefix_sums(rows, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=40, ties=["id", "absent"])
+    assert {(r["id"], r["rank"]) for r in ranked.collect()} == {(r["id"], r["rank"]) for r in same.collect()}
