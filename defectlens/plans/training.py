@@ -18,27 +18,36 @@ from defectlens.operators.evaluate import classification_report, evaluate_scores
 from defectlens.operators.features import (
     class_counts, labeled_rows, merge_history, require_two_classes, with_group,
 )
+from defectlens.operators.forest import MAX_VALUES, GrownForest, Growth, grow_forest
 from defectlens.operators.split import group_split, stratified_split
 from defectlens.schemas import (
     BASIC_FEATURES, COMBINED_FEATURES, PREDICTION_COLUMNS, ROC_FEATURES, PREDICTION_TYPES, SHORT_PREDICTION_COLUMNS, STATIC_FEATURES,
 )
-from defectlens.session import materialize
+from defectlens.session import materialize, new_table_path
 from defectlens.sources.tables import write_json
 
 LABEL = "bug_label"
 READY = "Model ready"
+SPARK_DEPTH = 30  # the most levels that Spark ML grows
 NO_MODEL = "Upload a file to begin. Python files use the saved model when available."
 log = logging.getLogger(__name__)
+Model = PipelineModel | GrownForest
 
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """A forest with depth bounded: Spark grows trees level by level and allows 30 levels at most."""
+    """Trees grow until their leaves are pure or too small to split, unless ``depth`` bounds them.
+
+    ``balance_samples`` balances the class weights in the bootstrap sample of each tree, else they are those of all rows. Tables of more than
+    ``max_values`` (rows times features) are left to Spark ML's level-wise forest, which stops at 30 levels and has the weights of all rows.
+    """
 
     trees: int = 300
-    depth: int = 10
+    depth: int | None = None
     min_leaf: int = 2
     seed: int = 42
+    balance_samples: bool = True
+    max_values: int = MAX_VALUES
 
 
 @dataclass
@@ -48,14 +57,14 @@ class TrainedSet:
     name: str
     features: list[str]
     model_name: str
-    model: PipelineModel
+    model: Model
     threshold: float
     validation_auc: float | None
     validation_f1: float
     rows: int
     labeled_rows: int
     results: dict[str, dict]
-    models: dict[str, PipelineModel]
+    models: dict[str, Model]
     history_found: bool = False
 
 
@@ -76,13 +85,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def train_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings()) -> PipelineModel:
+def train_forest(train: DataFrame, features: list[str], settings: ForestSettings = ForestSettings()) -> Model:
     """``train`` needs the features, a 0/1 ``bug_label`` and ``weight``."""
+    small = train.count() * len(features) <= settings.max_values
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol=LABEL, weightCol="weight", numTrees=settings.trees, maxDepth=settings.depth,
-        minInstancesPerNode=settings.min_leaf, featureSubsetStrategy="sqrt", seed=settings.seed,
+        featuresCol="features", labelCol=LABEL, weightCol="weight", numTrees=settings.trees, minInstancesPerNode=settings.min_leaf,
+        featureSubsetStrategy="sqrt", seed=settings.seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
+        maxDepth=0 if small else min(settings.depth or SPARK_DEPTH, SPARK_DEPTH),
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(train)
+    if not small:
+        return model
+    # The stumps are a frame in Spark ML's format; the trees grown in tasks take their place.
+    path = new_table_path(train.sparkSession, "forest")
+    model.write().save(path)
+    growth = Growth(settings.trees, settings.min_leaf, settings.depth, settings.seed, settings.balance_samples)
+    nodes = grow_forest(train, features, LABEL, growth)
+    nodes.write.mode("overwrite").parquet(f"{path}/stages/1_{model.stages[1].uid}/data")
+    return open_model(train.sparkSession, path, features, model)
+
+
+def open_model(spark: SparkSession, path: str, features: list[str], frame: PipelineModel | None = None) -> Model:
+    """The model stored at ``path``: a forest is scored from its nodes, unless it has too many, all else by Spark ML."""
+    try:
+        return GrownForest(spark, path, features, frame)
+    except (FileNotFoundError, ValueError):
+        return PipelineModel.load(path)
 
 
 def train_logistic(train: DataFrame, features: list[str], max_iter: int = 5000) -> PipelineModel:
@@ -100,7 +128,7 @@ def train_logistic(train: DataFrame, features: list[str], max_iter: int = 5000)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features"), scaler, logistic]).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame, features: list[str], threshold: float) -> DataFrame:
+def score(model: Model, df: DataFrame, features: list[str], threshold: float) -> DataFrame:
     """Add ``bug_probability`` and ``predicted_bug_label``; features that are absent or no numbers count as 0.
 
     The table's own values stay as they are: the model sees coerced copies.
@@ -108,17 +136,21 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], threshold: f
     inputs = [
         (F.coalesce(numeric(df, c), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(c) for c in features
     ]
-    scored = model.transform(df.select(F.struct(*df.columns).alias("_row"), *inputs))
-    probability = vector_to_array("probability")[1]
-    return scored.select("_row.*", probability.alias("bug_probability")).withColumn(
+    rows = F.struct(*df.columns).alias("_row")
+    if isinstance(model, GrownForest):
+        scored = model.score(df.select(rows, F.array(*inputs).alias("_x")), "_row", "_x", "bug_probability")
+    else:
+        scored = model.transform(df.select(rows, *inputs)).select("_row", vector_to_array("probability")[1].alias("bug_probability"))
+    return scored.select("_row.*", "bug_probability").withColumn(
         "predicted_bug_label", (F.col("bug_probability") >= threshold).cast("int")
     )
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+def feature_importance(spark: SparkSession, model: Model, features: list[str]) -> DataFrame:
     """(feature, importance, rank): impurity importance of a forest, else |coefficient| of the scaled feature."""
-    fitted = model.stages[-1]
-    if hasattr(fitted, "featureImportances"):
+    if isinstance(model, GrownForest):
+        values = model.importances()
+    elif hasattr(fitted := model.stages[-1], "featureImportances"):
         values = fitted.featureImportances.toArray()
     else:
         values = abs(fitted.coefficients.toArray())
@@ -176,7 +208,7 @@ def train_feature_set(
     )
 
 
-def _tune(model: PipelineModel, sides: DataFrame, features: list[str]) -> dict:
+def _tune(model: Model, sides: DataFrame, features: list[str]) -> dict:
     held_out = sides.where(F.col("split") != "train")
     # Written once: thresholds, curves and reports of both sides come from these scores.
     scored = materialize(score(model, held_out, features, 0.5).select(LABEL, "bug_probability", "split"), "held_out_scores")
@@ -277,7 +309,7 @@ def write_training(merged: DataFrame, trained: dict[str, TrainedSet], folder: st
         write_json(side_tables(sets, kind), f"{folder}/{kind}")
 
 
-def train_and_score_all(df: DataFrame, settings: ForestSettings = ForestSettings(trees=100, min_leaf=1)) -> DataFrame:
+def train_and_score_all(df: DataFrame, settings: ForestSettings = ForestSettings(trees=100, min_leaf=1, balance_samples=False)) -> DataFrame:
     """Train a forest on all labelled rows and score every row; the result keeps the values as they were given."""
     labeled = spread(labeled_rows(coerce_numeric(df, BASIC_FEATURES)))
     counts = require_two_classes(labeled)
@@ -286,7 +318,7 @@ def train_and_score_all(df: DataFrame, settings: ForestSettings = ForestSettings
 
 
 def roc_experiment(
-    df: DataFrame, settings: ForestSettings = ForestSettings(trees=100, min_leaf=1), seed: int = 42
+    df: DataFrame, settings: ForestSettings = ForestSettings(trees=100, min_leaf=1, balance_samples=False), seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """ROC curve and AUC of a forest on the stratified test rows among the completely known ones."""
     sides = stratified_split(labeled_rows(df, ROC_FEATURES), seed=seed)
@@ -297,7 +329,10 @@ def roc_experiment(
 
 
 def save_model(spark: SparkSession, trained: TrainedSet, path: str) -> None:
-    trained.model.write().overwrite().save(f"{path}/pipeline")
+    if isinstance(trained.model, GrownForest):
+        trained.model.save(f"{path}/pipeline")
+    else:
+        trained.model.write().overwrite().save(f"{path}/pipeline")
     row = (trained.features, trained.name, trained.model_name, trained.threshold, READY)
     facts = spark.createDataFrame(
         [row],
@@ -308,13 +343,13 @@ def save_model(spark: SparkSession, trained: TrainedSet, path: str) -> None:
 
 def load_best_model(
     spark: SparkSession, folder: str, with_history: bool = False
-) -> tuple[PipelineModel | None, list[str], float, str]:
+) -> tuple[Model | None, list[str], float, str]:
     """(model, features, threshold, message). Without history features the static model is the better informed one."""
     names = ["combined_model", "static_only_model"]
     for name in names if with_history else reversed(names):
         try:
             facts = spark.read.json(f"{folder}/{name}/metadata").first()
-            model = PipelineModel.load(f"{folder}/{name}/pipeline")
+            model = open_model(spark, f"{folder}/{name}/pipeline", list(facts["features"]))
             return model, list(facts["features"]), 0.5 if facts["threshold"] is None else float(facts["threshold"]), facts["status_label"]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
