@@ -75,38 +75,43 @@ class TrieEncoder:
         found = self.pairs[pair] = self._apart(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
-    def _last(self, word: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``word[:end]``, given those of its shorter prefixes."""
-        tail = word[max(0, end - TAIL) : end]
-        longer, short = self.near.get(tail) or self._suffixes(tail)
-        for size in longer:
-            if size <= end and (token := self.ids.get(word[end - size : end])) is not None and self._fits(token, size, end, last):
-                return token
-        for token in short:
-            if self._fits(token, self.sizes[token], end, last):
-                return token
-        raise ValueError("not a complete byte vocabulary")
-
-    def _fits(self, token: int, size: int, end: int, last: list[int]) -> bool:
-        if size == end:
-            return token in self.alone
-        pair = last[end - size] << 32 | token
-        known = self.pairs.get(pair)
-        return self._meets(pair) if known is None else known
-
     def encode(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each distinct word."""
+        """The ids of each distinct word. The inner loop is written out, as it runs for every byte of every new word."""
+        near, pairs, sizes, token_of, alone = self.near, self.pairs, self.sizes, self.ids.get, self.alone
         out, last, before = {}, [0], b""
         for word in sorted(set(words)):
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                last.append(self._last(word, end, last))
+                tail = word[end - TAIL : end] if end > TAIL else word[:end]
+                longer, short = near.get(tail) or self._suffixes(tail)
+                for size in longer:
+                    if size < end:
+                        if (token := token_of(word[end - size : end])) is not None:
+                            pair = last[end - size] << 32 | token
+                            if pairs[pair] if pair in pairs else self._meets(pair):
+                                break
+                    elif size == end and (token := token_of(word[:end])) in alone:
+                        break
+                else:
+                    for token in short:
+                        size = sizes[token]
+                        if size == end:
+                            if token in alone:
+                                break
+                        else:
+                            pair = last[end - size] << 32 | token
+                            if pairs[pair] if pair in pairs else self._meets(pair):
+                                break
+                    else:
+                        raise ValueError("not a complete byte vocabulary")
+                last.append(token)
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
-                at -= self.sizes[last[at]]
-            out[word], before = ids[::-1], word
+                at -= sizes[last[at]]
+            ids.reverse()
+            out[word], before = ids, word
         return out
 
 
