@@ -61,8 +61,8 @@ class TrieEncoder:
                 return True
 
     def _suffixes(self, tail: bytes) -> tuple:
-        """Sizes of the tokens longer than ``TAIL`` that end in ``tail``, and the tokens that are suffixes of it, long before short."""
-        short = [self.ids[tail[i:]] for i in range(len(tail)) if tail[i:] in self.ids]
+        """Sizes of the tokens longer than ``TAIL`` that end in ``tail``, and size and token of each suffix of it that is one, long before short."""
+        short = [(len(tail) - i, self.ids[tail[i:]]) for i in range(len(tail)) if tail[i:] in self.ids]
         found = tuple(sorted(self.tails.get(tail, ()), reverse=True)), short
         if len(self.near) > MEMORY:
             self.near.clear()
@@ -75,37 +75,38 @@ class TrieEncoder:
         found = self.pairs[pair] = self._apart(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
+    def _last(self, word: bytes, end: int, last: list[int]) -> int:
+        """The last token of ``word[:end]``, given those of its shorter prefixes. Written out, as it runs for every byte of every new word."""
+        pairs = self.pairs
+        tail = word[end - TAIL : end] if end > TAIL else word[:end]
+        longer, short = self.near.get(tail) or self._suffixes(tail)
+        for size in longer:
+            if size <= end and (token := self.ids.get(word[end - size : end])) is not None:
+                if size == end:
+                    if token in self.alone:
+                        return token
+                else:
+                    pair = last[end - size] << 32 | token
+                    if pairs[pair] if pair in pairs else self._meets(pair):
+                        return token
+        for size, token in short:
+            if size == end:
+                if token in self.alone:
+                    return token
+            else:
+                pair = last[end - size] << 32 | token
+                if pairs[pair] if pair in pairs else self._meets(pair):
+                    return token
+        raise ValueError("not a complete byte vocabulary")
+
     def encode(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each distinct word. The inner loop is written out, as it runs for every byte of every new word."""
-        near, pairs, sizes, token_of, alone = self.near, self.pairs, self.sizes, self.ids.get, self.alone
-        out, last, before = {}, [0], b""
+        """The ids of each distinct word."""
+        out, last, before, sizes = {}, [0], b"", self.sizes
         for word in sorted(set(words)):
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                tail = word[end - TAIL : end] if end > TAIL else word[:end]
-                longer, short = near.get(tail) or self._suffixes(tail)
-                for size in longer:
-                    if size < end:
-                        if (token := token_of(word[end - size : end])) is not None:
-                            pair = last[end - size] << 32 | token
-                            if pairs[pair] if pair in pairs else self._meets(pair):
-                                break
-                    elif size == end and (token := token_of(word[:end])) in alone:
-                        break
-                else:
-                    for token in short:
-                        size = sizes[token]
-                        if size == end:
-                            if token in alone:
-                                break
-                        else:
-                            pair = last[end - size] << 32 | token
-                            if pairs[pair] if pair in pairs else self._meets(pair):
-                                break
-                    else:
-                        raise ValueError("not a complete byte vocabulary")
-                last.append(token)
+                last.append(self._last(word, end, last))
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
