@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectlens.session import new_table_path, shared_folder
 
+T = TypeVar("T")
 WHITE = re.compile(rb"[\x20\x09-\x0d]")
 BLOCK = 1 << 20  # bytes of a text whose words are held at a time
 
@@ -75,3 +77,22 @@ def all_columns(df: DataFrame) -> list[Column]:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+_slot: list[tuple[object, object]] = []
+
+
+def held(owner: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept in a worker process as long as tasks of the same ``owner`` run there.
+
+    A worker keeps one such thing: a reused worker does not hold the tables of stages that have passed.
+    """
+    if not _slot or _slot[0][0] is not owner:
+        _slot.clear()
+        _slot.append((owner, make()))
+    return _slot[0][1]
+
+
+def let_go() -> None:
+    """Frees what an earlier stage has left in this worker."""
+    _slot.clear()

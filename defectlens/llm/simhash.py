@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from defectlens.llm.common import BLOCK, cut, same, shuffle_partitions, unused, word_blocks
+from defectlens.llm.common import BLOCK, all_columns, cut, let_go, same, shuffle_partitions, unused, word_blocks
 from defectlens.llm.components import connected_components
 
 BITS, RADIUS = 64, 3
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """(id, text_hash, fingerprint) per row of ``docs``: shingles of ``width`` words, a bit set if set in over half of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             prints = [fingerprint(t.as_py(), width) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -102,6 +103,7 @@ def _origin(masks: list[int]) -> Column:
 def fingerprint_links(prints: DataFrame, distinct_prints: int) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` that span every pair within the radius."""
     parts = max(shuffle_partitions(prints), math.ceil(distinct_prints / PER_PARTITION))
+    prints = prints.repartition(parts, "fp")  # small rows lie in few partitions, and each becomes hundreds of variants
     near = _variants(prints, near_masks()).repartition(parts, "variant").select("variant", _origin(near_masks()).alias("fp"))
     star = near.withColumn("hub", F.min("fp").over(Window.partitionBy("variant")))  # at most 65 rows a variant
     hubs = star.where("fp = hub").select("variant", "hub")
@@ -142,13 +144,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that ``best`` (id, text_hash) of a group names, each once."""
-    own_id, own_hash, key = unused(docs, "_id", "_hash", "_key")
+    """The rows of ``docs`` that ``best`` (id, text_hash) of a group names; of rows equal in both that with the smallest hash of the row."""
+    own_id, own_hash, key, row = unused(docs, "_id", "_hash", "_key", "_row")
     chosen = groups.select(F.col("best.id").alias(own_id), F.col("best.text_hash").alias(own_hash))
     kept = docs.withColumn(key, F.xxhash64(text)).join(
         chosen, same(F.col(doc_id).cast("long"), F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left_semi"
     )
-    return kept.dropDuplicates([doc_id, key]).drop(key)
+    others = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(all_columns(docs), docs.dtypes)]
+    nth = F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.xxhash64(*others)))
+    return kept.withColumn(row, nth).where(F.col(row) == 1).drop(key, row)
 
 
 def hex_digits(fingerprint: Column) -> Column:

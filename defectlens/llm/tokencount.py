@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from defectlens.llm.common import held
 from defectlens.llm.vocab import Vocabulary, share
 
 CACHE = 400_000  # counts of merged pre-tokens that a worker remembers; then it starts afresh
@@ -52,16 +53,6 @@ class Counting:
         return size
 
 
-_held: list[Counting] = []
-
-
-def _counting(vocabulary: Vocabulary, whole: frozenset[str]) -> Counting:
-    """One per worker process, as long as the vocabulary is the same."""
-    if not _held or _held[0].vocabulary is not vocabulary:
-        _held[:] = [Counting(vocabulary, whole)]
-    return _held[0]
-
-
 def count_tokens(
     docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -74,7 +65,7 @@ def count_tokens(
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(shared.value))  # at most the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = _counting(shared.value, whole.value)
+        counting = held(shared.value, lambda: Counting(shared.value, whole.value))
         for batch in batches:
             counts = pa.array([counting.count(t.as_py() or "") for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], names=["id", "n_bytes", "n_tokens"])

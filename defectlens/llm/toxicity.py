@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from defectlens.llm.common import all_columns, unused
+from defectlens.llm.common import all_columns, held, unused
 
 WINDOW, STRIDE = 32, 16  # words
 WORD = re.compile(r"[^\W_]+")
@@ -306,16 +306,6 @@ class Scorer:
             np.maximum.at(best, owner[a : a + ROWS], network.forward(self.table, flat[at], mask))
 
 
-_held: list[Scorer] = []
-
-
-def _scorer(model: Model) -> Scorer:
-    """One per worker process, as long as the model is the same."""
-    if not _held or _held[0].model is not model:
-        _held[:] = [Scorer(model)]
-    return _held[0]
-
-
 def held_out(doc_id: str = "doc_id"):
     """Rows whose label is never learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -363,7 +353,7 @@ def _scored(docs: DataFrame, model: Model, text: str) -> tuple[str, DataFrame]:
     (name,), at = unused(docs, "score"), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+        scorer = held(shared.value, lambda: Scorer(shared.value))
         for batch in batches:
             scores = scorer.score_all([t.as_py() or "" for t in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
