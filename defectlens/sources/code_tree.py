@@ -18,7 +18,6 @@ from defectlens.functions.paths import is_supported
 from defectlens.schemas import SOURCE_FILES
 from defectlens.session import materialize
 
-LEVELS = 3  # directory levels that are fanned out before a task lists what is left below
 TASK_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 16 * 1024 * 1024
 ENTRY = "path STRING, is_dir BOOLEAN, size BIGINT"
@@ -36,9 +35,13 @@ def _open(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, inner, path[: path.rindex(inner.rstrip("/"))]
 
 
-def _entries(path: str, recursive: bool) -> list[tuple[str, bool, int]]:
+def _entries(path: str) -> list[tuple[str, bool, int]]:
     system, inner, prefix = _open(path)
-    listed = system.get_file_info(fs.FileSelector(inner, recursive=recursive, allow_not_found=True))
+    try:
+        listed = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    except OSError as error:
+        log.warning("could not list %s: %s", path, error)
+        return []
     return [(prefix + i.path, i.type == fs.FileType.Directory, i.size or 0) for i in listed]
 
 
@@ -51,30 +54,32 @@ def _root(path: str) -> tuple[str, bool, int] | None:
     return path, info.type == fs.FileType.Directory, info.size or 0
 
 
-def _expand(recursive: bool, start: bool = False):
-    """A task that replaces directories by what is in them and passes files on."""
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the given paths are."""
+    for batch in batches:
+        yield pd.DataFrame(filter(None, map(_root, batch["path"])), columns=["path", "is_dir", "size"])
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, is_dir, size in batch.itertuples(index=False):
-                entry = _root(path) if start else (path, is_dir, size)
-                if entry is None:
-                    continue
-                rows += _entries(path, recursive) if entry[1] else [entry]
-            yield pd.DataFrame(rows, columns=["path", "is_dir", "size"])
 
-    return task
+def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is in the given directories, one level down."""
+    for batch in batches:
+        for path in batch["path"]:
+            yield pd.DataFrame(_entries(path), columns=["path", "is_dir", "size"])
 
 
 def list_source_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Distinct supported files (path, size) under ``roots``, which may be files or directories."""
+    """Distinct supported files (path, size) under ``roots``, which may be files or directories.
+
+    Level by level: the directories of a level are dealt to all tasks anew and what is in them is written, until none is left. So a
+    branch of any depth or size is listed by as many tasks as it has directories.
+    """
     width = spark.sparkContext.defaultParallelism
-    given = [(root.rstrip("/") or "/", True, 0) for root in sorted(set(roots))]
-    level = spark.createDataFrame(given, ENTRY).mapInPandas(_expand(False, start=True), ENTRY)
-    for step in range(1, LEVELS + 1):
-        level = level.repartition(width).mapInPandas(_expand(recursive=step == LEVELS), ENTRY)
-    files = level.where(~F.col("is_dir") & is_supported("path"))
+    given = [(root.rstrip("/") or "/",) for root in sorted(set(roots))]
+    found = level = materialize(spark.createDataFrame(given, "path string").repartition(width).mapInPandas(_look, ENTRY), "tree_level")
+    while not (inside := level.where("is_dir").select("path").distinct()).isEmpty():
+        level = materialize(inside.repartition(width, F.xxhash64("path")).mapInPandas(_expand, ENTRY), "tree_level")
+        found = found.unionByName(level)
+    files = found.where(~F.col("is_dir") & is_supported("path"))
     return files.groupBy("path").agg(F.max("size").alias("size"))
 
 

@@ -5,7 +5,7 @@ from defectlens.operators import extraction as X, ranking as R
 from defectlens.plans.extraction import extract_tree, write_extraction
 from defectlens.plans.scoring import score_files
 from defectlens.schemas import FUNCTION_METRICS
-from defectlens.sources.code_tree import read_source_files
+from defectlens.sources.code_tree import list_source_files, read_source_files
 
 PYTHON = '''
 import os
@@ -167,3 +167,14 @@ def test_extract_and_score_a_tree(spark, tmp_path):
     ranked = score_files(files, test_flag=False).orderBy("rank").collect()
     assert [(r["function"], r["is_test_file"], r["display_score"]) for r in ranked] == [
         ("f", 0, "#1 · Low"), ("g", 0, "#2 · Low")]
+
+
+def test_deep_trees_are_listed_level_by_level(spark, tmp_path):
+    """Twelve levels, the last of them wide; no task lists more than the directories dealt to it."""
+    deep = tmp_path.joinpath(*[f"d{i}" for i in range(11)])
+    for i in range(60):
+        (deep / f"wide{i}").mkdir(parents=True)
+        (deep / f"wide{i}" / "m.py").write_text("x")
+    (tmp_path / "d0" / "top.go").write_text("y")
+    listed = list_source_files(spark, [str(tmp_path), str(deep)])
+    assert sorted(r["path"] for r in listed.collect()) == sorted([f"{deep}/wide{i}/m.py" for i in range(60)] + [f"{tmp_path}/d0/top.go"])

@@ -1,8 +1,12 @@
+import csv
+import json
+import random
+
 import pytest
 
 from defectlens.schemas import FUNCTION_METRICS, BASIC_METRICS
 from defectlens.operators import labelling as D
-from defectlens.sources import tables
+from defectlens.sources import split_csv, tables
 
 
 def test_typed_csv_by_name(spark, tmp_path):
@@ -63,3 +67,57 @@ def test_published_metrics_table(spark):
     assert rule == {"0": 29, "1": 9, "": 61}
     threshold = {r["bug_label"]: r["n"] for r in D.value_counts(D.apply_threshold_label(df), "bug_label").collect()}
     assert threshold == {1: 22, 0: 77}
+
+
+def test_split_csv_equals_one_task_at_any_block_border(spark, tmp_path):
+    draw = random.Random(9)
+    values = ["plain", "", 'a "q" b', "two\nlines", "three\n\n\nlines", ",", '"', '"\n"', "x" * 300 + "\n" + "y" * 300, "é\n", "end\n", " "]
+    rows = [[str(i), draw.choice(values), draw.choice(values)] for i in range(150)]
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, "w", newline="") as file:
+            writer = csv.writer(file, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
+            writer.writerow(["id", "left", "right, \"too\""])
+            writer.writerows(rows)
+    path = f"file://{tmp_path}/*.csv"
+    want = sorted(map(tuple, tables.read_raw(spark, path).collect()))
+    assert sorted(want) == sorted([tuple(r) for r in rows] * 2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (61, 500, 5000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = tables.read_raw(spark, path, block_bytes=1)
+            assert got.columns == ["id", "left", 'right, "too"'] and sorted(map(tuple, got.collect())) == want
+        assert split_csv._lines(spark, path).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_relabel_in_place(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("function,ccn,nloc,params,length,radon_grade,bug_label\na,9,,,,,\nb,1,2,1,2,A,\n")
+    path = f"file://{tmp_path}/m.csv"
+    tables.relabel_table(spark, path)
+    labels = lambda: {r["function"]: r["bug_label"] for r in tables.read_raw(spark, path).collect()}
+    assert labels() == {"a": "1", "b": "0"} and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["m.csv"]
+
+    def fails(df):
+        raise RuntimeError("no labels")
+
+    with pytest.raises(RuntimeError):
+        tables.relabel_table(spark, path, fails)
+    assert labels() == {"a": "1", "b": "0"}
+    (tmp_path / "m.csv").rename(tmp_path / "m.csv._old")  # as if broken off between the renames
+    tables.relabel_table(spark, path)
+    assert labels() == {"a": "1", "b": "0"} and not (tmp_path / "m.csv._old").exists()
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_wrapped_json_parts_make_one_document(spark, tmp_path, n):
+    df = spark.range(n).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'x\"y' END AS s", "CASE WHEN id % 3 = 0 THEN double('nan') ELSE id / 2 END AS p").repartition(7)
+    tables.write_wrapped_json(df, f"file://{tmp_path}/doc", ["nloc", "ccn"])
+    parts = sorted(p for p in (tmp_path / "doc").rglob("part-*") if p.suffix == ".txt")
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert (document["features"], document["num_rows"], len(document["predictions"])) == (["nloc", "ccn"], n, n)
+    assert sorted(r["id"] for r in document["predictions"]) == list(range(n))
+    assert all(r["s"] == ('x"y' if r["id"] % 2 == 0 else None) and r["p"] == (None if r["id"] % 3 == 0 else r["id"] / 2) for r in document["predictions"])
