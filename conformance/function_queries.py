@@ -54,6 +54,17 @@ def a3(spark, sf_dir):
     return tables.read_raw(spark, _written(spark, sf_dir))
 
 
+@query("a3_read_raw_split", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, "
+                            "md5(regexp_replace(coalesce(text, ''), '\\r', '', 'g')) AS text_md5 FROM documents")
+def a3_split(spark, sf_dir):
+    """Whole texts with line breaks as values; every file is cut into blocks."""
+    path = new_table_path(spark, "texts")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\\r", "")
+    tables.write_table(table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("text")), path, ["doc_id", "lang", "text"])
+    rows = tables.read_raw(spark, path, block_bytes=0)
+    return rows.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
 # Generated code, function by function: lines and counts follow from p_size and p_partkey.
 _GENERATED = f"""
   SELECT *, 'data/repos/repo' || (f % 3) || '/gen/m' || f || CASE WHEN js THEN '.js' ELSE '.py' END AS file,
@@ -94,6 +105,13 @@ def a8(spark, sf_dir):
     return tables.read_raw(spark, target).select("function_id", "bug_label")
 
 
+@query("a8_relabel_table", with_views(["labelled"], "SELECT function_id, bug_label FROM labelled"))
+def a8_in_place(spark, sf_dir):
+    path = _written(spark, sf_dir)
+    tables.relabel_table(spark, path)
+    return tables.read_raw(spark, path).select("function_id", "bug_label")
+
+
 @query("a9_write_json", with_views(["scored"], "SELECT file, function, nloc, ccn, params, "
                                                "coalesce(bug_probability, -1) AS bug_probability FROM scored"))
 def a9(spark, sf_dir):
