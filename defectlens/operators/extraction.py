@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from defectlens.functions.numbers import line_span
 from defectlens.functions.paths import (
     clean_function_name, extension, file_name, function_id, is_test_file, language, norm_path, repo_name,
 )
-from defectlens.functions.source_scan import functions_in
+from defectlens.operators.function_scan import braced_functions, indented_functions
 from defectlens.schemas import FUNCTION_METRICS
 
-RAW = (
-    "path STRING, name STRING, start_line INT, end_line INT, nloc INT, ccn INT, token INT, params INT, length INT"
-)
-RAW_COLUMNS = [part.split()[0] for part in RAW.split(", ")]
-log = logging.getLogger(__name__)
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, ext, content in batch.itertuples(index=False):
-            try:
-                rows += [(path, *row) for row in functions_in(ext, content or "")]
-            except (ValueError, IndexError, RecursionError) as error:  # a damaged file has no functions
-                log.warning("could not analyse %s: %s", path, error)
-        yield pd.DataFrame(rows, columns=RAW_COLUMNS)
+def is_indented(path: Column | str) -> Column:
+    """Whether functions are delimited by indentation; a file without a path is read as one with braces."""
+    return F.coalesce(extension(path).isin(".py", ".rb"), F.lit(False))
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) to one row of plain counts per function. No shuffle: each file is one row."""
-    return files.select("path", extension("path").alias("ext"), "content").mapInPandas(_scan, RAW)
+    """``files`` (path, content) to one row of plain counts per function. Files are hashed by path once."""
+    files = files.select("path", "content")
+    return indented_functions(files.where(is_indented("path"))).unionByName(
+        braced_functions(files.where(~is_indented("path")))
+    )
 
 
 def function_rows(raw: DataFrame) -> DataFrame:

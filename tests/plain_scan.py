@@ -1,4 +1,4 @@
-"""Per-file helper of the extraction job: where functions start and end, and the plain counts of each.
+"""Plain one-file version of the extraction job, for comparison: where functions start and end, and their counts.
 
 Two layouts are told apart: functions delimited by indentation (Python, Ruby) and by braces (all others). The first is
 exact for well-formed Python, the second a best effort. What a nested function holds counts for it alone.

@@ -1,6 +1,6 @@
 import pytest
 
-from defectlens.functions.source_scan import functions_in
+import plain_scan
 from defectlens.operators import extraction as X, ranking as R
 from defectlens.plans.extraction import extract_tree, write_extraction
 from defectlens.plans.scoring import score_files
@@ -56,18 +56,49 @@ PYTHON_ROWS = [
 ]
 
 
-def test_python_functions():
-    rows = {r[0]: r for r in functions_in(".py", PYTHON)}
+def scan(spark, *files):
+    """Functions of (path, text) by the engine, in source order."""
+    rows = X.extract_functions(spark.createDataFrame(list(files), "path string, content string")).collect()
+    return sorted(map(tuple, rows), key=lambda r: (r[0] or "", r[2], -r[3], r[1]))
+
+
+def plain(*files):
+    rows = [(path, *row) for path, text in files
+            for row in plain_scan.functions_in("." + path.rsplit(".", 1)[1] if path else None, text or "")]
+    return sorted(rows, key=lambda r: (r[0] or "", r[2], -r[3], r[1]))
+
+
+def test_python_functions(spark):
+    rows = {r[1]: r[1:] for r in scan(spark, ("a.py", PYTHON))}
     assert list(rows) == ["top", "push", "outer", "inner"]
     for want in PYTHON_ROWS:
         got = rows[want[0]]
         assert [g for g, w in zip(got, want) if w is not None] == [w for w in want if w is not None], (got, want)
 
 
-def test_damaged_and_empty_python():
-    assert functions_in(".py", "") == []
-    assert functions_in(".py", "def") == []
-    assert [r[0] for r in functions_in(".py", "def f(a:\n  return 1\n")] == ["f"]
+def test_damaged_and_empty_python(spark):
+    assert scan(spark, ("a.py", ""), ("b.py", "def"), ("c.py", None)) == []
+    assert [r[1] for r in scan(spark, ("a.py", "def f(a:\n  return 1\n"))] == ["f"]
+
+
+def test_scan_agrees_with_a_plain_one(spark):
+    files = [
+        ("p.py", PYTHON), ("twice.py", "def f(): pass\n"), ("twice.py", "def f(): pass\n"), ("gone.js", None),
+        (None, "function a() { }"), ("tabs.py", "class A:\n\tdef b(self, x=(1, 2), **k):\n\t\treturn [\nself]\n\tasync def c(self): return x if y else z\n"),
+        ("long.py", "def g():\n    x = \'\'\'" + "text if\n" * 3000 + "\'\'\'\n    return x\n\n" + "def h(a, b): return a and b\n" * 50),
+        ("back.py", "def a():\n    if x:\n        def b():\n            def c(): pass\n    def d(): pass\ny = 1\ndef e(): pass"),
+        ("init.cpp", "Foo::Foo(int a) : x(a) {\n}\nint q(int b)\n : x(a) {\n}\n"),
+        ("calls.js", "const a = foo(b)\nbar(\n x\n) {\n}\nasync function z(a,b=()=>{return 1}){}\nfoo()\nif (x) { y() }\n"
+                     "x = async q => { await q }\nclass A { async go(a) { return a ? 1 : 2 } get x() {} }\n"
+                     "it('a', function() { call(function(a, b) { }) })\n} }\nfunction last() {"),
+    ]
+    assert scan(spark, *files) == plain(*files)
+
+
+def test_scan_runs_in_the_jvm(spark):
+    files = spark.createDataFrame([("a.py", PYTHON)], "path string, content string")
+    plan = X.extract_functions(files)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan and "InArrow" not in plan
 
 
 @pytest.mark.parametrize("ext, text, expected", [
@@ -85,8 +116,8 @@ def test_damaged_and_empty_python():
      [("Foo", 1, 2, 2, 1, 1), ("get", 3, 5, 3, 1, 0)]),
     (".rb", "def go(a, b)\n  if a\n    b\n  end\nend\n\ndef low c\n  c\nend\n", [("go", 1, 5, 5, 2, 2), ("low", 7, 9, 3, 1, 1)]),
 ])
-def test_other_languages(ext, text, expected):
-    got = [(r[0], r[1], r[2], r[3], r[4], r[6]) for r in functions_in(ext, text)]
+def test_other_languages(spark, ext, text, expected):
+    got = [(r[1], r[2], r[3], r[4], r[5], r[7]) for r in scan(spark, ("a" + ext, text))]
     assert got == expected
 
 
