@@ -63,6 +63,19 @@ def analyzed_files(files: DataFrame, functions: DataFrame) -> DataFrame:
     )
 
 
+def file_status(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """Per row of ``files`` (path, content): ``analyzed``, ``empty`` (no functions) or ``failed`` (could not be read).
+
+    ``functions`` is a function table of them; files without a path are never ``analyzed``.
+    """
+    counts = functions.groupBy("file").agg(F.count(F.lit(1)).alias("function_count"))
+    rows = files.select(norm_path("path").alias("file"), F.col("content").isNull().alias("unread"))
+    status = F.when(F.col("unread"), "failed").when(F.col("function_count").isNull(), "empty").otherwise("analyzed")
+    return rows.join(counts, "file", "left").select(
+        "file", status.alias("status"), F.coalesce("function_count", F.lit(0)).alias("function_count")
+    )
+
+
 def extraction_summary(per_file: DataFrame) -> DataFrame:
     """One row over ``analyzed_files``: files with and without functions, functions in all."""
     return per_file.agg(

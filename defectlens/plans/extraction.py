@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from defectlens.operators.extraction import analyzed_files, extract_functions, extraction_summary, function_rows
+from defectlens.operators.extraction import analyzed_files, extraction_summary, function_rows, is_indented
+from defectlens.operators.function_scan import braced_functions, indented_functions
 from defectlens.schemas import FUNCTION_METRICS
 from defectlens.session import materialize
 from defectlens.sources.code_tree import list_source_files, read_listed_files, relative_paths
@@ -23,8 +24,11 @@ class ExtractedFunctions:
 def extract_tree(spark: SparkSession, roots: list[str], base: str | None = None) -> ExtractedFunctions:
     """Reads and scans every file once; the summaries are made from the written function table."""
     listing = materialize(list_source_files(spark, roots), "source_listing")
-    functions = function_rows(extract_functions(read_listed_files(listing, base)))
-    functions = materialize(functions, "function_metrics")
+    indented, braced = listing.where(is_indented("path")), listing.where(~is_indented("path"))
+    found = indented_functions(read_listed_files(indented, base)).unionByName(
+        braced_functions(read_listed_files(braced, base))
+    )
+    functions = materialize(function_rows(found), "function_metrics")
     files = analyzed_files(relative_paths(listing.select("path"), base), functions)
     return ExtractedFunctions(functions, files, extraction_summary(files))
 

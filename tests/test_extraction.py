@@ -133,6 +133,8 @@ def test_function_table(spark):
         "data/repos/r1/tests/m.py::top::8", 2, 2, "", "")
     per_file = {r["file"]: r["function_count"] for r in X.analyzed_files(files, table).collect()}
     assert per_file == {"data/repos/r1/tests/m.py": 4, "x/none.go": 0, "y/null.c": 0}
+    status = {(r["file"], r["status"], r["function_count"]) for r in X.file_status(files, table).collect()}
+    assert status == {("data/repos/r1/tests/m.py", "analyzed", 4), ("x/none.go", "empty", 0), ("y/null.c", "failed", 0)}
     total = X.extraction_summary(X.analyzed_files(files, table)).first()
     assert tuple(total) == (1, 2, 4)
 
