@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import count
 from typing import TypeVar
 
@@ -96,3 +97,17 @@ def held(owner: object, make: Callable[[], T]) -> T:
 def let_go() -> None:
     """Frees what an earlier stage has left in this worker."""
     _slot.clear()
+
+
+@contextmanager
+def pinned_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are split alike by every job in the block, even when executors are lost or join meanwhile."""
+    name, leaves = "spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, spark.conf.get(leaves, None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)

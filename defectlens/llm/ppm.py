@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from defectlens.llm.common import Stored, cut, shuffle_partitions
+from defectlens.llm.common import Stored, cut, pinned_splits, shuffle_partitions
 
 ORDER, TOP = 5, 2  # bytes of the longest context, and of the longest one that all branches share
 START, END = 0xFF, 0xFE  # never in UTF-8
@@ -266,6 +266,15 @@ def score_texts(
     one; ``score`` is log10 of the probability that the byte model gives the text, A-Z lower-cased, and its end. A null text
     counts as empty and consists of its end. Rows and ids may repeat; no rows give no rows; other columns are ignored.
     """
+    stored = Stored(docs.sparkSession)
+    try:
+        with pinned_splits(docs.sparkSession):
+            return _scored(docs, doc_id, text, batch_bytes, stored)
+    finally:
+        stored.drop()
+
+
+def _scored(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, stored: Stored) -> DataFrame:
     rows = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), (~held_out(doc_id)).alias("train"),
         F.input_file_name().alias("file"), F.input_file_block_start().alias("at"),
@@ -281,7 +290,6 @@ def score_texts(
     texts = dealt.select("batch", "t", "train")
     if splits["unnamed"]:
         texts = texts.repartition(max(parts, shuffle_partitions(docs)), "batch")
-    stored = Stored(docs.sparkSession)
     counted = stored.keep(texts.mapInArrow(_count, "batch long, at int, gram long, word binary, n long"), "lm_counts")
 
     grams = stored.keep(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "lm_grams")
@@ -340,7 +348,6 @@ def score_texts(
     schema = "id long, held_out boolean, n_words long, n_seen long, worth double, score double, new long, trained long"
     blocks = dealt.mapInArrow(_pack, "batch long, block binary")
     scored = cut(blocks.groupBy("batch").cogroup(facts.groupBy("batch")).applyInArrow(score, schema))
-    stored.drop()
     sums = scored.agg(F.sum("trained").alias("words"), F.sum("new").alias("distinct")).first()
     ends = splits["ends"] or 0
     tokens, distinct = (sums["words"] or 0) + ends, (sums["distinct"] or 0) + (ends > 0)

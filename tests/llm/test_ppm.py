@@ -83,6 +83,31 @@ def test_empty_table(spark):
     assert ppm.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_cores_lost_between_the_passes(spark, tmp_path, monkeypatch):
+    rows = [(i, f"the cat {i} sat " * (i % 50)) for i in range(600)]
+    path, leaves, cost = str(tmp_path / "docs"), "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).coalesce(1).write.parquet(path)
+    keep = ppm.Stored.keep
+
+    def keep_and_lose(self, df, name):
+        kept = keep(self, df, name)
+        spark.conf.set(leaves, "1")
+        return kept
+
+    monkeypatch.setattr(ppm.Stored, "keep", keep_and_lose)
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, "1")
+    try:
+        got = sorted(map(tuple, ppm.score_texts(spark.read.parquet(path)).collect()))
+    finally:
+        spark.conf.set(cost, before)
+        spark.conf.unset(leaves)
+    want = sorted(brute(rows))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-6)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def test_long_text_in_chunks(monkeypatch):
     whole = [int(g) for part in ppm.grams_of(b"abcdefghij") for g in part]
     monkeypatch.setattr(ppm, "CHUNK", 3)
