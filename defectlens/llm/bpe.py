@@ -161,77 +161,6 @@ class TextEncoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each distinct word."""
-        out, last, before, sizes = {}, [0], b"", self.sizes
-        for word in sorted(set(words)):
-            shared = len(commonprefix((before, word)))
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                last.append(self._last(word, end, last))
-            ids, at = [], len(word)
-            while at:
-                ids.append(last[at])
-                at -= sizes[last[at]]
-            ids.reverse()
-            out[word], before = ids, word
-        return out
-
-
-class TextEncoder:
-    """Whole texts to packed ids (little-endian unsigned 32-bit) and back, with a bounded memory of words."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.trie, self.known = vocabulary, TrieEncoder(vocabulary), {}
-        self.open: list[bytes] = []  # of a text whose end has not come yet
-        self.special = {i: struct.pack("<I", i) for i in vocabulary.special.values()}
-
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Packed ids per text; the words of several texts go into one trie."""
-        held, size = [], 0
-        for text in texts:
-            for run, special in self.vocabulary.pre_tokens(text):
-                held.append((run, special, False))
-                size += len(run)
-                if size * 4 >= CHUNK:
-                    yield from self._finish(held)
-                    held, size = [], 0
-            held.append(([], None, True))
-        yield from self._finish(held)
-
-    def _finish(self, held: list[tuple[list[str], int | None, bool]]) -> Iterator[bytes]:
-        """The texts that end in these runs."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        fresh = {w for run, _, _ in held for w in run if w not in known}
-        by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in fresh}
-        for data, ids in self.trie.encode(by_bytes).items():
-            known[by_bytes[data]] = struct.pack(f"<{len(ids)}I", *ids)
-        for run, special, ends in held:
-            self.open.append(b"".join(map(known.__getitem__, run)))
-            if special is not None:
-                self.open.append(self.special[special])
-            if ends:
-                yield b"".join(self.open)
-                self.open = []
-
-    def decode(self, packed: bytes) -> str:
-        """The text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        ids = struct.unpack(f"<{len(packed) // 4}I", packed)
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
-
-
-_held: list[TextEncoder] = []
-
-
-def _encoder(vocabulary: Vocabulary) -> TextEncoder:
-    """One encoder per worker process, as long as the vocabulary is the same."""
-    if not _held or _held[0].vocabulary is not vocabulary:
-        _held[:] = [TextEncoder(vocabulary)]
-    return _held[0]
-
-
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids, n_tokens) per row of ``docs``, in its order: ids are packed little-endian unsigned 32-bit integers.
 
