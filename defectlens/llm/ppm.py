@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ GRAM, WORD, FIRST = 0, 1, 2  # what a fact is about; the first batch of a word c
 SYMBOLS = 257  # all bytes and the end; what a text can be made of
 BATCH_BYTES = 32 << 20  # and so the size of a batch's words and grams
 GROUP = 200_000  # grams that are worked on together, unless a branch has more
-CHUNK = 1 << 20  # bytes whose grams are made at a time
+CHUNK = 0xFFFF  # bytes whose grams are made and sorted at a time: a place among them, or a count, has 16 bits beside a gram
+TOGETHER = 1 << 20  # bytes of texts that are worked on together, unless a text has more
+FOLD = 1 << 23  # grams with counts that are held before they are merged
 ROWS = 100_000  # rows handed to Spark at a time
 FACTS = 2_000_000  # facts that a partition packs together
 BLOCK_BYTES = 1 << 20  # of texts that are compressed together
@@ -43,15 +46,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def grams_of(data: bytes) -> Iterator[np.ndarray]:
-    """Per byte and for the end: the ``ORDER`` bytes before it, the byte itself last, in 48 bits."""
-    whole = bytes([START]) * ORDER + data + bytes([END])
-    for start in range(0, len(data) + 1, CHUNK):
-        part = np.frombuffer(whole, np.uint8, min(CHUNK, len(data) + 1 - start) + ORDER, start).astype(np.int64)
+def grams_of(*texts: bytes) -> Iterator[np.ndarray]:
+    """Per byte and for the end of each text: the ``ORDER`` bytes before it, the byte itself last, in 48 bits."""
+    whole = b"".join(part for t in texts for part in (bytes([START]) * ORDER, t, bytes([END])))
+    for start in range(0, len(whole) - ORDER, CHUNK):
+        part = np.frombuffer(whole, np.uint8, min(CHUNK, len(whole) - ORDER - start) + ORDER, start)
+        wide = part.astype(np.int64)
         gram = np.zeros(len(part) - ORDER, np.int64)
         for i in range(ORDER + 1):
-            gram = gram << 8 | part[i : len(part) - ORDER + i]
-        yield gram
+            gram <<= 8
+            gram |= wide[i : len(part) - ORDER + i]
+        yield gram[part[ORDER:] != START]
+
+
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Places of sorted keys that differ from the one before."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +70,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     counts = np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    first = _first(keys)
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
@@ -68,54 +78,122 @@ def _words(data: bytes) -> list[bytes]:
     return data.split()
 
 
+def _encoded(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch in the partition: its distinct grams and words in order, and their counts in training texts, 0 for those only held out."""
-    tallies: dict[int, _Tally] = {}
+    tallies: dict[int, _Tally] = defaultdict(_Tally)
     for batch in batches:
         for number, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            tally = tallies.setdefault(number, _Tally())
-            tally.add((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), train)
+            tallies[number].add(_encoded(text), train)
     for number in list(tallies):
         yield from tallies.pop(number).rows(number)
 
 
 class _Tally:
-    """Grams and words of a batch."""
+    """Counts of the grams and words of a batch."""
 
     def __init__(self) -> None:
+        self.waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        self.waits = {True: 0, False: 0}
+        self.pieces: list[np.ndarray] = []  # grams with counts of up to 16 bits
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        self.size, self.words = 0, {}
+        self.size, self.words = 0, {True: defaultdict(int), False: defaultdict(int)}
 
     def add(self, data: bytes, train: bool) -> None:
-        for gram in grams_of(data):
-            self.held[train].append(gram)
-            self.size += len(gram)
-            if self.size > CHUNK:
+        self.waiting[train].append(data)
+        self.waits[train] += len(data)
+        if self.waits[train] > TOGETHER:
+            self._take(train)
+
+    def _take(self, train: bool) -> None:
+        texts = self.waiting[train]
+        words = self.words[train]
+        for word, times in Counter(_words(b"\n".join(texts))).items():  # a small table first, which stays in cache
+            words[word] += times
+        for gram in grams_of(*texts):
+            gram.sort()
+            first = _first(gram)
+            piece = gram[first] << 16
+            if train:
+                piece |= np.diff(first, append=len(gram))
+            self.pieces.append(piece)
+            self.size += len(piece)
+            if self.size > FOLD:
                 self._fold()
-        words = self.words
-        for word, times in Counter(_words(data)).items():
-            words[word] = words.get(word, 0) + (times if train else 0)
+        self.waiting[train], self.waits[train] = [], 0
 
     def _fold(self) -> None:
-        for train, held in self.held.items():
-            if held:
-                keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                self.parts.append((keys, counts if train else np.zeros_like(counts)))
-                held.clear()
-        self.parts, self.size = [_merged(self.parts)], 0
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The grams, their counts, and the words, in order: both passes over a batch number them alike."""
-        self._fold()
-        return *self.parts[0], sorted(self.words)
+        if self.pieces:
+            packed = np.concatenate(self.pieces).view(np.uint64)
+            packed.sort()
+            keys = (packed >> np.uint64(16)).view(np.int64)
+            first = _first(keys)
+            counts = (packed & np.uint64(0xFFFF)).view(np.int64)
+            self.parts.append((keys[first], np.add.reduceat(counts, first) if len(keys) else counts))
+        if len(self.parts) > 1:
+            self.parts = [_merged(self.parts)]
+        self.pieces, self.size = [], 0
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        keys, counts, words = self.distinct()
+        """The facts asked for, places by the order of grams and of words."""
+        for train in (True, False):
+            self._take(train)
+        self._fold()
+        (keys, counts), held = self.parts[0], self.words[True]
+        words = sorted(held.keys() | self.words[False].keys())
+        times = np.fromiter((held.get(w, 0) for w in words), np.int64, len(words))
         for start in range(0, max(len(keys), len(words)), ROWS):
             end = start + ROWS
             yield _rows(number, start, keys[start:end], counts[start:end], None)
-            yield _rows(number, start, None, np.array([self.words[w] for w in words[start:end]], np.int64), words[start:end])
+            yield _rows(number, start, None, times[start:end], words[start:end])
+
+
+class _Asked:
+    """Grams and words of a batch's texts, which get their values when all are known: each is sorted once and never looked for again."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.of_text: list[np.ndarray] = []  # the words of each text by their numbers
+        self.pieces: list[tuple[np.ndarray, ...]] = []  # of each chunk its distinct grams, how many of each, and their places
+        self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        some, size = [], 0
+        for i, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER or i == len(texts) - 1:
+                self._take(some, numbers)
+                some, size = [], 0
+        self.words = len(numbers)
+        self.in_order = np.fromiter(map(numbers.__getitem__, sorted(numbers)), np.int64, self.words)
+        grams = np.concatenate([p[0] for p in self.pieces])
+        grams.sort()
+        self.grams = grams[_first(grams)]
+
+    def _take(self, texts: list[bytes], numbers: dict[bytes, int]) -> None:
+        for words in map(_words, texts):
+            self.of_text.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        for gram in grams_of(*texts):
+            packed = (gram << 16 | np.arange(len(gram))).view(np.uint64)
+            packed.sort()
+            keys = (packed >> np.uint64(16)).view(np.int64)
+            first = _first(keys)
+            self.pieces.append((keys[first], np.diff(first, append=len(keys)).astype(np.uint16), packed.astype(np.uint16)))
+
+    def sums(self, p: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its grams' values, which are given in the order of ``grams``."""
+        out, start = np.zeros(len(self.starts) - 1), 0
+        for keys, times, places in self.pieces:
+            values = np.empty(len(places))
+            values[places] = np.repeat(p[np.searchsorted(self.grams, keys)], times)
+            if len(values):
+                first = np.searchsorted(self.starts, start, "right") - 1
+                last = np.searchsorted(self.starts, start + len(values), "left")
+                out[first:last] += np.add.reduceat(values, np.maximum(self.starts[first:last] - start, 0))
+            start += len(values)
+        return out
 
 
 def _rows(number: int, start: int, grams: np.ndarray | None, counts: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
@@ -297,11 +375,11 @@ def _scored(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, stored: S
     shared = seen.groupBy(F.col("gram").bitwiseAND((1 << 8 * (TOP + 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     shared = shared.toArrow()  # at most 2^24 rows
     top = tuple(shared.column(i).to_numpy() for i in (0, 1))
-    top = tuple(column[np.argsort(top[0])] for column in top)
+    top = docs.sparkSession.sparkContext.broadcast(tuple(column[np.argsort(top[0])] for column in top))
 
     def branches(table: pa.Table) -> pa.Table:
         keys, counts = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"gram": keys, "p": log_probabilities(keys, keys, counts, top).astype(np.float32)})
+        return pa.table({"gram": keys, "p": log_probabilities(keys, keys, counts, top.value).astype(np.float32)})
 
     branch = F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 8 * (TOP + 1)) - 1)
     groups = max(1, math.ceil(grams.count() / GROUP))
@@ -320,24 +398,17 @@ def _scored(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, stored: S
     def score(key: tuple, blocks: pa.Table, known: pa.Table) -> pa.Table:
         texts = _unpack(blocks)
         train = texts.column("train").to_numpy(zero_copy_only=False)
-        encoded = [t.as_py().encode("utf-8", "surrogatepass").lower() for t in texts.column("t")]
-        tally = _Tally()
-        for data in encoded:
-            tally.add(data, False)
-        grams, _, words = tally.distinct()
-        p, c, new = np.zeros(len(grams)), np.zeros(len(words)), 0
+        asked = _Asked([_encoded(t) for t in texts.column("t")])
+        p, c, new = np.zeros(len(asked.grams)), np.zeros(asked.words), 0
         for block in known.column("facts"):
             gram_at, gram_p, word_at, word_c, kinds = _unpack_facts(block.as_py())
-            p[gram_at], c[word_at] = gram_p, word_c
+            p[gram_at], c[asked.in_order[word_at]] = gram_p, word_c
             new += int(((kinds == FIRST) & (word_c > 0)).sum())
-        worth = dict(zip(words, np.log10(c + 1).tolist()))
+        worth = np.log10(c + 1)
         rows = []
-        for data in encoded:
-            values = [worth[w] for w in _words(data)]
-            rows.append((
-                len(values), sum(map(bool, values)), math.fsum(values),
-                sum(float(p[np.searchsorted(grams, gram)].sum()) for gram in grams_of(data)),
-            ))
+        for words, score in zip(asked.of_text, asked.sums(p).tolist()):
+            values = worth[words]
+            rows.append((len(values), int(np.count_nonzero(values)), math.fsum(values.tolist()), score))
         column = lambda i, form: pa.array([r[i] for r in rows], form)
         return pa.table({
             "id": texts.column("id"), "held_out": pc.invert(texts.column("train")), "n_words": column(0, pa.int64()), "n_seen": column(1, pa.int64()),
