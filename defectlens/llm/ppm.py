@@ -35,7 +35,7 @@ BATCH_BYTES = 32 << 20  # and so the size of a batch's words and grams
 GROUP = 200_000  # grams that are worked on together, unless a branch has more
 CHUNK = 0xFFFF  # bytes whose grams are made and sorted at a time: a place among them, or a count, has 16 bits beside a gram
 TOGETHER = 1 << 20  # bytes of texts that are worked on together, unless a text has more
-FOLD = 1 << 23  # grams with counts that are held before they are merged
+FOLD = 1 << 21  # grams with counts that are held before they are merged
 ROWS = 100_000  # rows handed to Spark at a time
 FACTS = 2_000_000  # facts that a partition packs together
 BLOCK_BYTES = 1 << 20  # of texts that are compressed together
@@ -64,6 +64,12 @@ def _first(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    keys = np.concatenate(parts)
+    keys.sort()
+    return keys[_first(keys)]
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams and the sum of their counts."""
     keys = np.concatenate([p[0] for p in parts])
@@ -98,13 +104,12 @@ class _Tally:
     def __init__(self) -> None:
         self.waiting: dict[bool, list[bytes]] = {True: [], False: []}
         self.waits = {True: 0, False: 0}
-        self.pieces: list[np.ndarray] = []  # grams with counts of up to 16 bits
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.words = 0, {True: defaultdict(int), False: defaultdict(int)}
 
     def add(self, data: bytes, train: bool) -> None:
         self.waiting[train].append(data)
-        self.waits[train] += len(data)
+        self.waits[train] += len(data) + ORDER + 1
         if self.waits[train] > TOGETHER:
             self._take(train)
 
@@ -113,35 +118,41 @@ class _Tally:
         words = self.words[train]
         for word, times in Counter(_words(b"\n".join(texts))).items():  # a small table first, which stays in cache
             words[word] += times
+        pieces: list[np.ndarray] = []
         for gram in grams_of(*texts):
             gram.sort()
             first = _first(gram)
-            piece = gram[first] << 16
+            pieces.append(gram[first] << 16)
             if train:
-                piece |= np.diff(first, append=len(gram))
-            self.pieces.append(piece)
-            self.size += len(piece)
-            if self.size > FOLD:
-                self._fold()
+                pieces[-1] |= np.diff(first, append=len(gram))
+            if len(pieces) * CHUNK > FOLD:
+                self._fold(pieces)
+                pieces = []
+        self._fold(pieces)
         self.waiting[train], self.waits[train] = [], 0
 
-    def _fold(self) -> None:
-        if self.pieces:
-            packed = np.concatenate(self.pieces).view(np.uint64)
-            packed.sort()
-            keys = (packed >> np.uint64(16)).view(np.int64)
-            first = _first(keys)
-            counts = (packed & np.uint64(0xFFFF)).view(np.int64)
-            self.parts.append((keys[first], np.add.reduceat(counts, first) if len(keys) else counts))
+    def _fold(self, pieces: list[np.ndarray]) -> None:
+        """Merges grams that have their counts beside them in 16 bits."""
+        packed = np.concatenate([np.zeros(0, np.int64), *pieces]).view(np.uint64)
+        packed.sort()
+        keys = (packed >> np.uint64(16)).view(np.int64)
+        first = _first(keys)
+        counts = (packed & np.uint64(0xFFFF)).view(np.int64)
+        self.parts.append((keys[first], np.add.reduceat(counts, first) if len(keys) else counts))
+        self.size += len(first)
+        if self.size > FOLD:
+            self._merge()
+
+    def _merge(self) -> None:
         if len(self.parts) > 1:
             self.parts = [_merged(self.parts)]
-        self.pieces, self.size = [], 0
+        self.size = 0
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """The facts asked for, places by the order of grams and of words."""
         for train in (True, False):
             self._take(train)
-        self._fold()
+        self._merge()
         (keys, counts), held = self.parts[0], self.words[True]
         words = sorted(held.keys() | self.words[False].keys())
         times = np.fromiter((held.get(w, 0) for w in words), np.int64, len(words))
@@ -157,42 +168,49 @@ class _Asked:
     def __init__(self, texts: list[bytes]) -> None:
         numbers: dict[bytes, int] = defaultdict(count().__next__)
         self.of_text: list[np.ndarray] = []  # the words of each text by their numbers
-        self.pieces: list[tuple[np.ndarray, ...]] = []  # of each chunk its distinct grams, how many of each, and their places
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []  # of some texts their distinct grams, and which one stands at each place
         self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         some, size = [], 0
         for i, text in enumerate(texts):
             some.append(text)
-            size += len(text)
+            size += len(text) + ORDER + 1
             if size > TOGETHER or i == len(texts) - 1:
                 self._take(some, numbers)
                 some, size = [], 0
         self.words = len(numbers)
         self.in_order = np.fromiter(map(numbers.__getitem__, sorted(numbers)), np.int64, self.words)
-        grams = np.concatenate([p[0] for p in self.pieces])
-        grams.sort()
-        self.grams = grams[_first(grams)]
+        self.grams = _distinct([p[0] for p in self.pieces])
 
     def _take(self, texts: list[bytes], numbers: dict[bytes, int]) -> None:
         for words in map(_words, texts):
             self.of_text.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        inside, distinct = [], []
         for gram in grams_of(*texts):
             packed = (gram << 16 | np.arange(len(gram))).view(np.uint64)
             packed.sort()
             keys = (packed >> np.uint64(16)).view(np.int64)
             first = _first(keys)
-            self.pieces.append((keys[first], np.diff(first, append=len(keys)).astype(np.uint16), packed.astype(np.uint16)))
+            distinct.append(keys[first])
+            inside.append((np.diff(first, append=len(keys)), packed.astype(np.uint16)))
+        grams = _distinct(distinct)
+        which = np.empty(sum(len(places) for _, places in inside), np.int32)
+        start = 0
+        for keys, (times, places) in zip(distinct, inside):
+            which[start : start + len(places)][places] = np.repeat(np.searchsorted(grams, keys), times)
+            start += len(places)
+        self.pieces.append((grams, which))
 
     def sums(self, p: np.ndarray) -> np.ndarray:
         """Of each text the sum of its grams' values, which are given in the order of ``grams``."""
         out, start = np.zeros(len(self.starts) - 1), 0
-        for keys, times, places in self.pieces:
-            values = np.empty(len(places))
-            values[places] = np.repeat(p[np.searchsorted(self.grams, keys)], times)
-            if len(values):
+        for grams, which in self.pieces:
+            here = p[np.searchsorted(self.grams, grams)]
+            for at in range(0, len(which), TOGETHER):
+                values = here[which[at : at + TOGETHER]]
                 first = np.searchsorted(self.starts, start, "right") - 1
                 last = np.searchsorted(self.starts, start + len(values), "left")
                 out[first:last] += np.add.reduceat(values, np.maximum(self.starts[first:last] - start, 0))
-            start += len(values)
+                start += len(values)
         return out
 
 
@@ -399,6 +417,7 @@ def _scored(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, stored: S
         texts = _unpack(blocks)
         train = texts.column("train").to_numpy(zero_copy_only=False)
         asked = _Asked([_encoded(t) for t in texts.column("t")])
+        texts = texts.drop_columns(["t"])
         p, c, new = np.zeros(len(asked.grams)), np.zeros(asked.words), 0
         for block in known.column("facts"):
             gram_at, gram_p, word_at, word_c, kinds = _unpack_facts(block.as_py())

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,29 @@ def test_long_text_in_chunks(monkeypatch):
     assert [int(g) for part in ppm.grams_of(b"abcdefghij") for g in part] == whole and len(whole) == 11
 
 
+def test_sums_across_chunks(monkeypatch):
+    texts = [b"the cat", b"", b"a" * 40, b"", b"the mat", "é日本".encode()]
+    of_text = [np.concatenate(list(ppm.grams_of(t))) for t in texts]
+    for chunk, together in ((0xFFFF, 1 << 20), (7, 10), (3, 1)):
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
+        monkeypatch.setattr(ppm, "TOGETHER", together)
+        asked = ppm._Asked(texts)
+        assert asked.grams.tolist() == sorted({g for t in of_text for g in t.tolist()})
+        values = dict(zip(asked.grams.tolist(), range(1, 1000)))
+        assert asked.sums(np.arange(1.0, len(asked.grams) + 1)).tolist() == [sum(values[g] for g in t.tolist()) for t in of_text]
+
+
+def test_counts_beyond_16_bits(monkeypatch):
+    for fold in (1 << 21, 10):
+        monkeypatch.setattr(ppm, "FOLD", fold)
+        tally = ppm._Tally()
+        tally.add(b"a" * 200_000, True)
+        tally.add(b"a" * 10 + b"b", False)
+        rows = [r for b in tally.rows(1) for r in b.to_pylist()]
+        counts = {r["gram"]: r["n"] for r in rows if r["gram"] is not None}
+        assert counts[int.from_bytes(b"aaaaaa")] == 200_000 - 5 and counts[int.from_bytes(b"aaaaab")] == 0
+
+
 def test_better_than_words_on_held_out_texts(spark):
     found = ppm.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     row = found.where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
