@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +79,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _words(data: bytes) -> list[bytes]:
-    return data.split()
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and where each text's begin and the last one's end."""
+    whole = pc.ascii_trim_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    parts = pc.ascii_split_whitespace(whole)
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # a text without words gives an empty one
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), before[parts.offsets.to_numpy()]
+
+
+def _in_order(words: list[pa.Array]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words encoded by their distinct ones, and the order of these by bytes: both passes over a batch number them alike."""
+    whole = pa.concat_arrays([pa.array([], pa.large_string()), *words]).dictionary_encode()
+    return whole, pc.sort_indices(whole.dictionary).to_numpy()
 
 
 def _encoded(text: pa.Scalar) -> bytes:
@@ -105,7 +116,7 @@ class _Tally:
         self.waiting: dict[bool, list[bytes]] = {True: [], False: []}
         self.waits = {True: 0, False: 0}
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.words = 0, {True: defaultdict(int), False: defaultdict(int)}
+        self.size, self.words, self.times = 0, [], []
 
     def add(self, data: bytes, train: bool) -> None:
         self.waiting[train].append(data)
@@ -115,9 +126,9 @@ class _Tally:
 
     def _take(self, train: bool) -> None:
         texts = self.waiting[train]
-        words = self.words[train]
-        for word, times in Counter(_words(b"\n".join(texts))).items():  # a small table first, which stays in cache
-            words[word] += times
+        words = pc.value_counts(_words(texts)[0])
+        self.words.append(words.field("values"))
+        self.times.append(words.field("counts").to_numpy() * int(train))
         pieces: list[np.ndarray] = []
         for gram in grams_of(*texts):
             gram.sort()
@@ -153,9 +164,10 @@ class _Tally:
         for train in (True, False):
             self._take(train)
         self._merge()
-        (keys, counts), held = self.parts[0], self.words[True]
-        words = sorted(held.keys() | self.words[False].keys())
-        times = np.fromiter((held.get(w, 0) for w in words), np.int64, len(words))
+        keys, counts = self.parts[0]
+        encoded, order = _in_order(self.words)
+        times = np.bincount(encoded.indices.to_numpy(), np.concatenate(self.times), len(order))[order].astype(np.int64)
+        words = encoded.dictionary.take(pa.array(order)).view(pa.large_binary())
         for start in range(0, max(len(keys), len(words)), ROWS):
             end = start + ROWS
             yield _rows(number, start, keys[start:end], counts[start:end], None)
@@ -166,8 +178,8 @@ class _Asked:
     """Grams and words of a batch's texts, which get their values when all are known: each is sorted once and never looked for again."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        numbers: dict[bytes, int] = defaultdict(count().__next__)
-        self.of_text: list[np.ndarray] = []  # the words of each text by their numbers
+        self.encoded: list[tuple[np.ndarray, np.ndarray]] = []  # of some texts their words by number, and where each text's begin
+        distinct: list[pa.Array] = []
         self.pieces: list[tuple[np.ndarray, np.ndarray]] = []  # of some texts their distinct grams, and which one stands at each place
         self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         some, size = [], 0
@@ -175,15 +187,20 @@ class _Asked:
             some.append(text)
             size += len(text) + ORDER + 1
             if size > TOGETHER or i == len(texts) - 1:
-                self._take(some, numbers)
+                self._take(some, distinct)
                 some, size = [], 0
-        self.words = len(numbers)
-        self.in_order = np.fromiter(map(numbers.__getitem__, sorted(numbers)), np.int64, self.words)
+        numbers, self.in_order = _in_order(distinct)
+        numbers, start = numbers.indices.to_numpy(), 0
+        for i, (words, borders) in enumerate(self.encoded):
+            end = start + len(distinct[i])
+            self.encoded[i], start = (numbers[start:end][words], borders), end
         self.grams = _distinct([p[0] for p in self.pieces])
 
-    def _take(self, texts: list[bytes], numbers: dict[bytes, int]) -> None:
-        for words in map(_words, texts):
-            self.of_text.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+    def _take(self, texts: list[bytes], words: list[pa.Array]) -> None:
+        found, borders = _words(texts)
+        found = found.dictionary_encode()
+        words.append(found.dictionary)
+        self.encoded.append((found.indices.to_numpy(), borders))
         inside, distinct = [], []
         for gram in grams_of(*texts):
             packed = (gram << 16 | np.arange(len(gram))).view(np.uint64)
@@ -200,6 +217,13 @@ class _Asked:
             start += len(places)
         self.pieces.append((grams, which))
 
+    def word_sums(self, worth: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Of each text its words, those worth something, and the sum of their worth, which is given by their numbers."""
+        for words, borders in self.encoded:
+            values = worth[words]
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                yield b - a, int(np.count_nonzero(values[a:b])), math.fsum(values[a:b].tolist())
+
     def sums(self, p: np.ndarray) -> np.ndarray:
         """Of each text the sum of its grams' values, which are given in the order of ``grams``."""
         out, start = np.zeros(len(self.starts) - 1), 0
@@ -214,12 +238,12 @@ class _Asked:
         return out
 
 
-def _rows(number: int, start: int, grams: np.ndarray | None, counts: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
+def _rows(number: int, start: int, grams: np.ndarray | None, counts: np.ndarray, words: pa.Array | None) -> pa.RecordBatch:
     n = len(counts)
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(n, number, np.int64)), pa.array(np.arange(start, start + n, dtype=np.int32)),
         pa.nulls(n, pa.int64()) if grams is None else pa.array(grams),
-        pa.nulls(n, pa.binary()) if words is None else pa.array(words, pa.binary()), pa.array(counts),
+        pa.nulls(n, pa.binary()) if words is None else words.cast(pa.binary()), pa.array(counts),
     ], names=["batch", "at", "gram", "word", "n"])
 
 
@@ -418,16 +442,12 @@ def _scored(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, stored: S
         train = texts.column("train").to_numpy(zero_copy_only=False)
         asked = _Asked([_encoded(t) for t in texts.column("t")])
         texts = texts.drop_columns(["t"])
-        p, c, new = np.zeros(len(asked.grams)), np.zeros(asked.words), 0
+        p, c, new = np.zeros(len(asked.grams)), np.zeros(len(asked.in_order)), 0
         for block in known.column("facts"):
             gram_at, gram_p, word_at, word_c, kinds = _unpack_facts(block.as_py())
             p[gram_at], c[asked.in_order[word_at]] = gram_p, word_c
             new += int(((kinds == FIRST) & (word_c > 0)).sum())
-        worth = np.log10(c + 1)
-        rows = []
-        for words, score in zip(asked.of_text, asked.sums(p).tolist()):
-            values = worth[words]
-            rows.append((len(values), int(np.count_nonzero(values)), math.fsum(values.tolist()), score))
+        rows = [(*words, score) for words, score in zip(asked.word_sums(np.log10(c + 1)), asked.sums(p).tolist())]
         column = lambda i, form: pa.array([r[i] for r in rows], form)
         return pa.table({
             "id": texts.column("id"), "held_out": pc.invert(texts.column("train")), "n_words": column(0, pa.int64()), "n_seen": column(1, pa.int64()),

@@ -142,3 +142,10 @@ def test_better_than_words_on_held_out_texts(spark):
     found = ppm.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     row = found.where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert row["s"] > row["b"]
+
+
+def test_words_are_cut_at_six_characters():
+    texts = ["".join(f"a{chr(c)}b" for c in [*range(0, 128), 0x85, 0xA0, 0x2028, 0x3000]).encode(), b"", b" \t", b"\x0b x\x1c\x0c", b"y" * 1000]
+    words, borders = ppm._words(texts)
+    got = [[w.encode() for w in words[a:b].to_pylist()] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+    assert got == [t.split() for t in texts] and len(got[0]) == 6 + 1
