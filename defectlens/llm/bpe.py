@@ -14,7 +14,8 @@ from defectlens.llm.common import held
 from defectlens.llm.vocab import CHUNK, Vocabulary, share
 
 CACHE = 400_000  # encoded words a worker remembers; then it starts afresh
-MEMORY = 200_000  # the same for pairs of tokens and for suffixes
+MEMORY = 200_000  # the same for suffixes
+PAIRS = 600_000  # the same for pairs of tokens
 TAIL = 6  # bytes by which the tokens that can come last are looked up
 
 
@@ -71,7 +72,7 @@ class TrieEncoder:
         return found
 
     def _meets(self, pair: int) -> bool:
-        if len(self.pairs) > MEMORY:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         found = self.pairs[pair] = self._apart(pair >> 32, pair & 0xFFFFFFFF)
         return found
@@ -123,6 +124,7 @@ class TextEncoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.trie, self.known = vocabulary, TrieEncoder(vocabulary), {}
         self.open: list[bytes] = []  # of a text whose end has not come yet
+        self.tokens = pa.array(vocabulary.tokens, pa.large_binary())
         self.special = {i: struct.pack("<I", i) for i in vocabulary.special.values()}
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -157,8 +159,11 @@ class TextEncoder:
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        ids = struct.unpack(f"<{len(packed) // 4}I", packed)
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids)).decode("utf-8", "replace")
+        ids = pa.Array.from_buffers(pa.uint32(), len(packed) // 4, [None, pa.py_buffer(packed)])
+        joined = self.tokens.take(ids)
+        _, borders, data = joined.buffers()
+        size = struct.unpack_from("<q", borders, 8 * len(joined))[0] if len(joined) else 0
+        return str(data[:size], "utf-8", "replace") if size else ""
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
