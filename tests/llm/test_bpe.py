@@ -39,7 +39,7 @@ def test_encodes_as_the_library(vocabulary, library, monkeypatch):
     assert [encoder.decode(pack(w)) for w in want] == [library.decode(w, skip_special_tokens=False) for w in want]
     broken = [want[12][:2], [50256, 160], [255]]
     assert [encoder.decode(pack(w)) for w in broken] == [library.decode(w, skip_special_tokens=False) for w in broken]
-    for name, value in (("CHUNK", 50), ("CACHE", 20), ("MEMORY", 10)):
+    for name, value in (("CHUNK", 50), ("CACHE", 20), ("MEMORY", 10), ("PAIRS", 10)):
         monkeypatch.setattr(bpe, name, value)
     monkeypatch.setattr("defectlens.llm.vocab.CHUNK", 50)
     assert list(bpe.TextEncoder(vocabulary).encode_all(texts())) == [pack(w) for w in want]
