@@ -91,3 +91,64 @@ def test_large_tables_are_left_to_spark(spark):
     model = T.train_forest(rows, ["a", "b"], T.ForestSettings(trees=3, max_values=399))
     assert isinstance(model, PipelineModel) and model.stages[-1].getOrDefault("maxDepth") == 30
     assert T.score(model, rows.withColumn("x", F.lit(1)), ["a", "b"], 0.5).columns == ["a", "b", "bug_label", "weight", "x", "bug_probability", "predicted_bug_label"]
+
+
+def test_forests_of_any_size_are_scored_the_same_without_the_driver(spark, monkeypatch):
+    x, y = sample(8, 600)
+    names = [f"f{i}" for i in range(5)]
+    rows = spark.createDataFrame([(i, *map(float, r), int(label), 1.0) for i, (r, label) in enumerate(zip(np.vstack([x, x[:50]]), np.r_[y, y[:50]]))],
+                                 "i int, " + ", ".join(f"{n} double" for n in names) + ", bug_label int, weight double")
+    model = T.train_forest(rows, names, T.ForestSettings(trees=9))
+    want = [r[0] for r in T.score(model, rows, names, 0.5).orderBy("i").select("bug_probability").collect()]
+    largest = max(model.sizes.values())
+    for limit in (largest, 3 * largest):  # parts of a tree or of some
+        monkeypatch.setattr(Y, "MAX_NODES", 100)
+        monkeypatch.setattr(Y, "PART_NODES", limit)
+        monkeypatch.setattr(Y, "PART_VALUES", 500)  # several blocks of rows
+        again = T.open_model(spark, model.path, names)
+        assert isinstance(again, Y.GrownForest)  # Spark ML would load all nodes into the driver
+        monkeypatch.setattr(type(model.nodes), "toArrow", None)  # nor may they come as arrays
+        scored = T.score(again, rows, names, 0.5).orderBy("i").select("i", "bug_probability").collect()
+        monkeypatch.undo()
+        assert [r["i"] for r in scored] == list(range(650))
+        assert np.allclose([r["bug_probability"] for r in scored], want, rtol=0, atol=1e-12)
+
+
+def plain_split(x, w0, w1, rows, f, min_leaf):
+    """The best border of a feature among the rows, by a loop: score and threshold."""
+    values, best = np.unique(x[rows, f]), (-np.inf, 0.0)
+    for low, high in zip(values[:-1], values[1:]):
+        left, right = rows[x[rows, f] <= low], rows[x[rows, f] > low]
+        if min(len(left), len(right)) >= min_leaf:
+            score = sum((w0[s].sum() ** 2 + w1[s].sum() ** 2) / (w0[s].sum() + w1[s].sum()) for s in (left, right))
+            if score > best[0] + 1e-12:
+                best = score, (low + high) / 2
+    return best
+
+
+def test_best_splits_of_rows_that_are_left():
+    x, y = sample(9, 300, features=3)
+    orders, w0, w1 = Y.sorted_orders(x), (y == 0).astype(float), (y == 1).astype(float)
+    by = Y._Sorted(x, orders)
+    rng = np.random.default_rng(4)
+    rows = np.arange(300)
+    for _ in range(3):  # rows of leaves are dropped level by level
+        on = rng.random(len(rows)) < 0.7
+        rows = rows[on]
+        by.keep(on)
+        node = rng.integers(0, 5, len(rows)).astype(np.int32)
+        wanted = rng.random((6, 3)) < 0.6  # node 5 has no rows
+        found = Y._best_splits(x, orders, node, 6, w0, w1, 2, wanted, by)
+        for k in range(6):
+            for f in range(3):
+                want = plain_split(x, w0, w1, rows[node == k], f, 2) if wanted[k, f] and (node == k).any() else (-np.inf, 0.0)
+                assert found.score[k, f] == pytest.approx(want[0]) and found.threshold[k, f] == want[1]
+
+
+def test_each_group_of_trees_is_a_task_of_its_own(spark):
+    x, y = sample(10, 60, features=3)
+    rows = spark.createDataFrame([(*map(float, r[:2]), int(label), 1.0) for r, label in zip(x, y)], "a double, b double, bug_label int, weight double")
+    nodes = Y.grow_forest(rows, ["a", "b"], "bug_label", Y.Growth(64))
+    groups = nodes.where("nodeData.id = 0").select("treeID", F.spark_partition_id().alias("task")).collect()
+    n = min(64, Y.GROUPS, max(8, spark.sparkContext.defaultParallelism))
+    assert {(r["treeID"] % n, r["task"]) for r in groups} == {(g, g) for g in range(n)}
