@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from defectlens.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000  # rows of one group that a single task may sort
+MANY_SLICES = 1_000  # the bounds of a slice are found from up to 300 rows that the driver samples
 PREFIX_DIGITS = 3  # hex digits per refinement step: 4,096 buckets
 PICK_ROWS = 50_000  # digests that may be sorted for one pick
 
@@ -57,8 +58,12 @@ def prefix_sums(
     if largest_group <= max_group_rows:
         group = Window.partitionBy(*by)
         return df.withColumns(_sums(measures, group, [*order, row_hash(df, ties)]))
-    slices = max(2, math.ceil(rows / max_group_rows))
-    return _sliced_prefix_sums(df, by, order, measures, slices, ties)
+    return _sliced_prefix_sums(df, by, order, measures, slice_count(rows, max_group_rows), ties)
+
+
+def slice_count(rows: int, max_group_rows: int) -> int:
+    """Slices of at most ``max_group_rows`` rows; where that makes very many, of as many rows as a task may sort."""
+    return max(2, min(math.ceil(rows / max_group_rows), max(MANY_SLICES, math.ceil(rows / MAX_GROUP_ROWS))))
 
 
 def _sums(measures: dict[str, Column], group: Window, order: list[Column]) -> dict[str, Column]:

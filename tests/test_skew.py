@@ -138,3 +138,14 @@ def test_named_ties_read_no_other_columns(spark, rows):
     ranked = skew.prefix_sums(rows.withColumn("other", F.rand()), ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=10_000, ties=["id"])
     same = skew.prefix_sums(rows, ["g"], [F.col("score").desc()], {"rank": F.lit(1)}, max_group_rows=40, ties=["id", "absent"])
     assert {(r["id"], r["rank"]) for r in ranked.collect()} == {(r["id"], r["rank"]) for r in same.collect()}
+
+
+def test_a_small_bound_does_not_make_slices_without_end(rows, monkeypatch):
+    """The driver samples up to 300 rows per slice, so their number must not grow with every 500 rows."""
+    assert [skew.slice_count(n, 500) for n in (10, 1_200, 54_000_000)] == [2, 3, skew.MANY_SLICES]
+    assert skew.slice_count(5_000_000_000, skew.MAX_GROUP_ROWS) == skew.slice_count(5_000_000_000, 500) == 5_000
+    monkeypatch.setattr(skew, "MANY_SLICES", 4)
+    order = [F.col("score").desc(), F.col("id").asc()]
+    got = skew.prefix_sums(rows, ["g"], order, {"rank": F.lit(1), "total": F.col("n")}, max_group_rows=5)
+    names = ["id", "rank", "total", "rank_total", "total_total"]
+    assert sorted(got.select(names).collect()) == sorted(window_sums(rows, ["g"], order).select(names).collect())
