@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -17,9 +18,19 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 CUT = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")  # a pre-token always ends here
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 CHUNK = 1 << 20  # characters cut into pre-tokens at a time
 
 
+def plain_rule() -> str:
+    """``PRE_TOKEN`` for texts without characters beyond U+FFFF, its classes spelled out, so that the faster ``re`` can cut them."""
+    letters = "".join(map(chr, range(0x10000)))
+    spelled = lambda c: "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(rf"\p{{{c}}}+", letters))
+    white, letter, number = map(spelled, ("White_Space", "L", "N"))
+    rule = PRE_TOKEN.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{white}{letter}{number}]").replace(r"\P{White_Space}", f"[^{white}]")
+    return rule.replace(r"\p{White_Space}", f"[{white}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that such files use for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,6 +76,10 @@ class Vocabulary:
     def _cutter(self) -> regex.Pattern:
         return regex.compile(PRE_TOKEN)
 
+    @cached_property
+    def _plain_cutter(self) -> re.Pattern:
+        return re.compile(plain_rule())
+
     @cached_property
     def _specials(self) -> regex.Pattern | None:
         names = sorted(self.special, key=len, reverse=True)
@@ -75,10 +90,11 @@ class Vocabulary:
         parts = self._specials.split(text) if self._specials else [text]
         for i in range(0, len(parts), 2):
             start, part = 0, parts[i]
+            findall = (self._cutter if ASTRAL.search(part) else self._plain_cutter).findall
             while len(part) - start > CHUNK and (found := CUT.search(part, start + CHUNK)):
-                yield self._cutter.findall(part, start, found.start()), None
+                yield findall(part, start, found.start()), None
                 start = found.start()
-            yield self._cutter.findall(part, start), self.special[parts[i + 1]] if i + 1 < len(parts) else None
+            yield findall(part, start), self.special[parts[i + 1]] if i + 1 < len(parts) else None
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank merges first, of equal ones the leftmost."""

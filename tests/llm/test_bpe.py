@@ -1,5 +1,6 @@
 import random
 import struct
+from os.path import commonprefix
 
 import public_tokenizers
 import pytest
@@ -45,6 +46,20 @@ def test_encodes_as_the_library(vocabulary, library, monkeypatch):
     assert list(bpe.TextEncoder(vocabulary).encode_all(texts())) == [pack(w) for w in want]
 
 
+def test_plain_rule_cuts_as_the_full_one(vocabulary):
+    every = "".join(map(chr, range(0x10000)))
+    rng = random.Random(5)
+    for text in [every, *texts(), *("".join(rng.choices(every, k=300)) for _ in range(50)), " ".join(every)]:
+        if text.isascii() or max(text) < "\U00010000":
+            assert vocabulary._plain_cutter.findall(text) == vocabulary._cutter.findall(text)
+            assert vocabulary._plain_cutter.findall(text, 3, 40) == vocabulary._cutter.findall(text, 3, 40)
+
+
+def test_shared_prefix():
+    words = sorted({b"", b"a", b"\x00", b"\x00\x00", b"ab", b"abc", b"abd", b"\xff" * 40, b"\xff" * 39 + b"\x00"})
+    assert all(bpe._shared(a, b) == len(commonprefix((a, b))) for a in words for b in words)
+
+
 def test_counts_as_the_library(vocabulary, library, monkeypatch):
     want = [len(e.ids) for e in library.encode_batch(texts(), add_special_tokens=False)]
     whole = tokencount.whole_tokens(vocabulary)
