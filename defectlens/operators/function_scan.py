@@ -40,8 +40,9 @@ OPENING, CLOSING = ["(", "[", "{"], [")", "]", "}"]
 ANONYMOUS = "(anonymous)"
 NO_PIECE = ["*", "/", "void"]
 
-FILE = ["path", "digest"]
+FILE = ["digest", "path"]  # the number first: sorts tell most files apart by it
 TOKEN = [*FILE, "copies", "i", "text", "line", "last_line", "column"]
+COUNTS = ["lines", "paths", "size"]  # of a line: lines of code, paths added, words
 EXTENT = "struct<name:string,first:int,last:int,start_line:int,end_line:int,bracket:int>"
 
 
@@ -156,6 +157,7 @@ def indented_functions(files: DataFrame) -> DataFrame:
     skip = F.when(is_async, 2).otherwise(1)
     rows = rows.select(
         *FILE, "copies", "i", "words", "line", (F.col("line") + F.col("breaks")).alias("last_line"),
+        F.size(words).alias("size"), F.element_at(words, 1).alias("word"), F.size(F.filter(words, lambda t: t.isin(DECISIONS))).alias("paths"),
         F.length(F.regexp_extract("text", "^[ \t]*", 0)).alias("column"),
         sums.alias("brackets"),
         skip.alias("skip"),
@@ -172,19 +174,28 @@ def indented_functions(files: DataFrame) -> DataFrame:
         "levels": F.collect_set(F.when(F.col("heads"), F.col("column"))).over(Window.partitionBy(*FILE)),
         "file_end": F.max("last_line").over(Window.partitionBy(*FILE)),
     })
+    is_text = F.coalesce(F.col("starts") & F.col("earlier.heads") & F.col("is_text"), F.lit(False))
+    lines = F.when(~is_text, F.col("last_line") - F.col("line") + 1).otherwise((F.col("size") > 1).cast("int"))
+    rows = rows.withColumns({"words": F.when(F.col("in_head"), words), "lines": lines})
     place = lambda level, own: F.struct(level.alias("level"), F.lit(own).alias("own"))
     closes = F.filter("levels", lambda k: (
         F.col("starts") & (k >= F.col("column")) & (k <= F.col("earlier.column"))
         & ~(F.col("heads") & (k == F.col("column")))
     ))
-    beside = F.transform(F.coalesce(closes, F.array().cast("array<int>")), lambda k: place(k, False))
+    rows = rows.withColumn("closes", F.coalesce(closes, F.array().cast("array<int>")))
+    # Only lines of headers and lines that may close a function go on; what lies between two of them has one owner and is the
+    # difference of running sums.
+    sums = {c: F.sum(c).over(_until(w)) for c in COUNTS}
+    rows = rows.withColumns({f"{c}_sum": total for c, total in sums.items()})
+    rows = rows.withColumns({f"{c}_all": F.max(f"{c}_sum").over(Window.partitionBy(*FILE)) for c in COUNTS})
+    rows = rows.where(F.col("in_head") | (F.size("closes") > 0))
+    between = {c: F.lead(F.col(f"{c}_sum") - F.col(c)).over(w) for c in COUNTS}
+    rows = rows.withColumns({f"{c}_then": F.coalesce(total, F.col(f"{c}_all")) - F.col(f"{c}_sum") for c, total in between.items()})
+    beside = F.transform("closes", lambda k: place(k, False))
     own = F.array(place(F.when(F.col("heads"), F.col("column")), True))
     t = rows.withColumn("place", F.explode(F.concat(own, beside)))
-    t = t.withColumns({
-        "level": F.col("place.level"), "own": F.col("place.own"),
-        "is_text": F.coalesce(F.col("starts") & F.col("earlier.heads") & F.col("is_text"), F.lit(False)),
-    }).drop("place", "levels", "earlier")
-    following = F.struct("i", F.element_at(words, 1).alias("word"), "column", "line", "line_before")
+    t = t.withColumns({"level": F.col("place.level"), "own": F.col("place.own")}).drop("place", "levels", "earlier", "closes")
+    following = F.struct("i", "word", "column", "line", "line_before")
     t = t.withColumn("closer", F.lead(following).over(_ordered("level"))).where("own")
 
     closer = F.col("closer")
@@ -196,24 +207,28 @@ def indented_functions(files: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(words, F.col("skip") + 2) == "(", F.lit(False)).alias("listed"),
     )
     t = t.withColumn("extent", F.when(F.col("heads"), extent))
-    event = lambda at, kind: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"))
-    own, start = event(F.col("i") * 2, 0), event(F.col("i") * 2 - 1, 1)
+    nothing = {c: F.lit(0).cast("long") for c in COUNTS}
+
+    def event(at: Column, kind: int, head: Column | None = None, counts: dict[str, Column] = nothing) -> Column:
+        head = F.lit(None).cast("struct<i:int,words:array<string>>") if head is None else head
+        return F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), head.alias("head"), *[n.cast("long").alias(c) for c, n in counts.items()])
+
+    header_words = F.when(F.col("heads"), F.col("skip")).otherwise(0)  # ``def`` and ``async``
+    head = F.when(F.col("in_head"), F.struct("i", "words"))
+    own = event(F.col("i") * 2, 0, head, {"lines": F.col("lines"), "paths": F.col("paths"), "size": F.col("size") - header_words})
+    then = event(F.col("i") * 2 + 2, 0, counts={c: F.col(f"{c}_then") for c in COUNTS})
+    start = event(F.col("i") * 2 - 1, 1)
     end = event(closer["i"] * 2 + F.when(at_end, 1).otherwise(-1), -1)
-    events = F.when(~F.col("heads"), F.array(own)).when(closer.isNull(), F.array(own, start)).otherwise(F.array(own, start, end))
+    some = F.when(F.col("size_then") > 0, F.array(own, then)).otherwise(F.array(own))
+    events = F.when(~F.col("heads"), some).when(closer.isNull(), F.concat(some, F.array(start))).otherwise(F.concat(some, F.array(start, end)))
     by_event = ("at", "kind")
-    t = t.select(*FILE, "copies", "i", "words", "line", "last_line", "is_text", "in_head", "heads", "skip", "extent",
-                 F.inline(events))
+    t = t.select(*FILE, "copies", "extent", F.inline(events))
     t = t.withColumn("depth", F.sum("kind").over(_until(_ordered(by=by_event)))).where("kind >= 0 AND depth > 0")
     t = t.withColumn("owner", _last(F.col("kind") == 1, F.col("extent"), _until(_ordered("depth", by=by_event)))).where("kind = 0")
 
-    size = F.size(words)
-    lines = F.when(~F.col("is_text"), F.col("last_line") - F.col("line") + 1).otherwise((size > 1).cast("int"))
-    head = F.when(F.col("in_head"), F.struct("i", "words"))
     counted = t.groupBy(*FILE, "copies", "owner").agg(
-        F.sum(lines).alias("nloc"),
-        (1 + F.sum(F.size(F.filter(words, lambda x: x.isin(DECISIONS))))).alias("ccn"),
-        F.sum(size - F.when(F.col("heads"), F.col("skip")).otherwise(0)).alias("token"),
-        F.sort_array(F.collect_list(head)).alias("head"),
+        F.sum("lines").alias("nloc"), (1 + F.sum("paths")).alias("ccn"), F.sum("size").alias("token"),
+        F.sort_array(F.collect_list("head")).alias("head"),
     )
     owner = F.col("owner")
     listed = F.flatten(F.transform("head", lambda x: x["words"]))

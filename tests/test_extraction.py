@@ -95,6 +95,15 @@ def test_scan_agrees_with_a_plain_one(spark):
     assert scan(spark, *files) == plain(*files)
 
 
+def test_lines_between_headers_and_ends_are_summed(spark):
+    body = "".join(f"    if a and b:\n\n        c = [{i},\n 2]  # if\n" for i in range(5))
+    files = [
+        ("a.py", f"x = 1\nif x: y\ndef f(a,\n  b):\n{body}\n"), ("b.py", f"def f(a): return a\ndef g(b):\n    \"\"\"if\"\"\"\n{body}    def h():\n{body}\nz = 1\nwhile z: z"),
+        ("c.rb", f"def go(a)\n{body}end\nx = 1\ndef low b\n{body}\n  def in\n    c\n  end\n  d if e\nend\nq if r\n"),
+    ]
+    assert scan(spark, *files) == plain(*files)
+
+
 def test_scan_runs_in_the_jvm(spark):
     files = spark.createDataFrame([("a.py", PYTHON)], "path string, content string")
     plan = X.extract_functions(files)._jdf.queryExecution().executedPlan().toString()
