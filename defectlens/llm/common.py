@@ -15,6 +15,7 @@ from defectlens.session import new_table_path, shared_folder
 
 T = TypeVar("T")
 WHITE = re.compile(rb"[\x20\x09-\x0d]")
+MOST_BITS = 1 << 28  # of hashes, broadcast: 32 MB
 BLOCK = 1 << 20  # bytes of a text whose words are held at a time
 
 
@@ -75,6 +76,22 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def may_hold(df: DataFrame, value: Column, hashes: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: true where ``value`` is one of ``hashes`` (one long column), else false but for about one row in 16.
+
+    A bit per place of a hash, 16 places per hash and ``MOST_BITS`` at most, is broadcast, so that wide rows need no shuffle to be told apart.
+    """
+    bits = max(1 << 15, min(MOST_BITS, 1 << (16 * hashes.count()).bit_length()))
+    at, bucket, bitmap = unused(df, "_at", "_bucket", "_bitmap")
+    place = lambda h: F.pmod(h, F.lit(bits)) + 1
+    bucket_of, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    maps = hashes.select(place(F.col(hashes.columns[0])).alias(at)).groupBy(bucket_of.alias(bucket)).agg(F.bitmap_construct_agg(bit).alias(bitmap))
+    found = df.withColumn(at, place(value)).join(F.broadcast(maps), bucket_of == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0
+    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop(at, bucket, bitmap)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
