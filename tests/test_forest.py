@@ -152,3 +152,42 @@ def test_each_group_of_trees_is_a_task_of_its_own(spark):
     groups = nodes.where("nodeData.id = 0").select("treeID", F.spark_partition_id().alias("task")).collect()
     n = min(64, Y.GROUPS, max(8, spark.sparkContext.defaultParallelism))
     assert {(r["treeID"] % n, r["task"]) for r in groups} == {(g, g) for g in range(n)}
+
+
+@pytest.mark.parametrize("min_leaf,balance", [(1, False), (7, True)])
+def test_equal_rows_counted_grow_the_trees_of_single_rows(monkeypatch, min_leaf, balance):
+    monkeypatch.setattr(Y, "DRAWS", 1000)
+    x, y = sample(6, 6000, features=3, values=5)
+    y ^= np.random.default_rng(9).integers(0, 4, 6000) == 0
+    order = np.lexsort((y, *x.T))
+    x, y = x[order], y[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(x, axis=0) != 0).any(axis=1) | (np.diff(y) != 0)])
+    times = np.diff(np.r_[new, len(y)])
+    assert len(new) <= 250
+    growth = Y.Growth(4, min_leaf=min_leaf, balance_samples=balance)
+    for tree in range(4):
+        drawn, rows = Y.draws(len(new), tree, growth, times)
+        single = Y.draws(len(y), tree, growth)
+        assert (drawn == np.add.reduceat(single[0], new)).all() and (rows == np.add.reduceat(single[1].astype(int), new)).all()
+        weights = np.ones(len(y))
+        plain, counted = Y.grow(x, y, weights, tree, growth), Y.grow(x[new], y[new], weights[new], tree, growth, times=times)
+        if balance:  # weights of a balanced sample are no round numbers, so that ties of borders may fall otherwise
+            assert plain[3][0] == counted[3][0] and min(counted[3]) >= min_leaf and np.allclose(plain[1][0], counted[1][0])
+        else:
+            assert all(np.array_equal(a, b) for a, b in zip(plain, counted))
+
+
+def test_many_rows_train_on_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "MANY_ROWS", 1000)
+    x, y = sample(8, 4000, features=3, values=4)
+    rows = [(float(a), float(b), float(c), int(d), 1.0, "more") for (a, b, c), d in zip(x, y)]
+    train = spark.createDataFrame(rows, "a double, b double, c double, bug_label int, weight double, _times string")
+    seen, plain = [], T.grow_forest
+    monkeypatch.setattr(T, "grow_forest", lambda df, *more: seen.append(df.count()) or plain(df, *more))
+    settings = T.ForestSettings(trees=3, min_leaf=1, balance_samples=False)
+    found = T.score(T.train_forest(train, ["a", "b", "c"], settings), train, ["a", "b", "c"], 0.5)
+    monkeypatch.setattr(T, "MANY_ROWS", 10_000)
+    other = T.score(T.train_forest(train, ["a", "b", "c"], settings), train, ["a", "b", "c"], 0.5)
+    columns = ["a", "b", "c", "bug_probability"]
+    assert seen[0] <= 128 and seen[1] == 4000
+    assert sorted(found.select(columns).collect()) == sorted(other.select(columns).collect())
