@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from defectlens.llm.common import held
+from defectlens.llm.common import held, pieces, small_batches
 from defectlens.llm.vocab import CHUNK, Vocabulary, share
 
-CACHE = 400_000  # encoded words a worker remembers; then it starts afresh
-MEMORY = 200_000  # the same for suffixes
-PAIRS = 600_000  # the same for pairs of tokens
+CACHE = 150_000  # encoded words a worker remembers of late; those before them are kept until there are as many again
+MEMORY = 100_000  # suffixes that it remembers; then it starts afresh
+PAIRS = 400_000  # the same for pairs of tokens
+PIECE = 3 << 19  # bytes of texts that are encoded, and sent back, at a time
 TAIL = 4  # bytes by which the tokens that can come last are looked up; with more of them, fewer endings are met again
 
 
@@ -39,14 +41,21 @@ class TrieEncoder:
         special = set(vocabulary.special.values())
         self.ids = {t: i for i, t in enumerate(vocabulary.tokens) if t and i not in special}
         self.sizes = [len(t) for t in vocabulary.tokens]
-        self.rank, self.halves = [-1] * len(self.sizes), [(-1, -1)] * len(self.sizes)
+        self.short = {t: (len(t), i) for t, i in self.ids.items() if len(t) <= TAIL}
+        self.rank = [-1] * len(self.sizes)
+        self.left, self.right = (array("q", [-1]) * len(self.sizes) for _ in range(2))  # the halves of a token
         for pair, rank in vocabulary.merges.items():
             token = vocabulary.merged[rank]
-            self.rank[token], self.halves[token] = rank, (pair >> 32, pair & 0xFFFFFFFF)
-        self.alone = {i for i in self.ids.values() if self.rank[i] < 0 or self._apart(*self.halves[i], self.rank[i])}
-        self.tails: dict[bytes, list[int]] = defaultdict(list)  # by its last bytes, the sizes of longer tokens
-        for size, tail in {(len(t), t[-TAIL:]) for t in self.ids if len(t) > TAIL}:
-            self.tails[tail].append(size)
+            self.rank[token], self.left[token], self.right[token] = rank, pair >> 32, pair & 0xFFFFFFFF
+        self.alone = bytearray(len(self.sizes))  # 1 for tokens that come out whole when they are a word
+        for i in self.ids.values():
+            self.alone[i] = self.rank[i] < 0 or self._apart(self.left[i], self.right[i], self.rank[i])
+        tails: dict[bytes, set[int]] = defaultdict(set)
+        for token in self.ids:
+            if len(token) > TAIL:
+                tails[token[-TAIL:]].add(len(token))
+        one: dict[tuple, tuple] = {}  # equal ones are held once
+        self.tails = {tail: one.setdefault(found := tuple(sorted(sizes, reverse=True)), found) for tail, sizes in tails.items()}  # by its last bytes, the sizes of longer tokens
         self.near: dict[bytes, tuple] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -55,24 +64,23 @@ class TrieEncoder:
 
         Undoes the later of the two tokens again and again, and looks at the pair that then meets at the border.
         """
-        merges, rank, halves = self.merges, self.rank, self.halves
+        merges, rank = self.merges, self.rank
         while True:
             across = merges.get(left << 32 | right)
             if across is not None and across < limit:
                 return False
             first, second = rank[left], rank[right]
             if first > second:
-                limit, left = first, halves[left][1]
+                limit, left = first, self.right[left]
             elif second >= 0:  # an equal merge further left comes first
-                limit, right = second + 1, halves[right][0]
+                limit, right = second + 1, self.left[right]
             else:
                 return True
 
     def _suffixes(self, tail: bytes) -> tuple:
         """Sizes of the tokens longer than ``TAIL`` that end in ``tail``, and size and token of each suffix of it that is one, long before short."""
-        size, find = len(tail), self.ids.get
-        short = [(size - i, token) for i in range(size) if (token := find(tail[i:])) is not None]
-        found = tuple(sorted(self.tails.get(tail, ()), reverse=True)), short
+        short = tuple(found for i in range(len(tail)) if (found := self.short.get(tail[i:])))
+        found = self.tails.get(tail, ()), short
         if len(self.near) > MEMORY:
             self.near.clear()
         self.near[tail] = found
@@ -92,7 +100,7 @@ class TrieEncoder:
         for size in longer:
             if size <= end and (token := self.ids.get(word[end - size : end])) is not None:
                 if size == end:
-                    if token in self.alone:
+                    if self.alone[token]:
                         return token
                 else:
                     pair = last[end - size] << 32 | token
@@ -100,7 +108,7 @@ class TrieEncoder:
                         return token
         for size, token in short:
             if size == end:
-                if token in self.alone:
+                if self.alone[token]:
                     return token
             else:
                 pair = last[end - size] << 32 | token
@@ -129,7 +137,9 @@ class TextEncoder:
     """Whole texts to packed ids (little-endian unsigned 32-bit) and back, with a bounded memory of words."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.trie, self.known = vocabulary, TrieEncoder(vocabulary), {}
+        self.vocabulary, self.trie = vocabulary, TrieEncoder(vocabulary)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words known before; those that are met again become known again
         self.open: list[bytes] = []  # of a text whose end has not come yet
         self.tokens = pa.array(vocabulary.tokens, pa.large_binary())
         self.special = {i: struct.pack("<I", i) for i in vocabulary.special.values()}
@@ -149,11 +159,12 @@ class TextEncoder:
 
     def _finish(self, held: list[tuple[list[str], int | None, bool]]) -> Iterator[bytes]:
         """The texts that end in these runs."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        words = set().union(*(run for run, _, _ in held))
-        by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in words.difference(known)}
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        words = set().union(*(run for run, _, _ in held)).difference(known)
+        known.update((w, older[w]) for w in words.intersection(older))
+        by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in words.difference(older)}
         for data, ids in self.trie.encode(by_bytes).items():
             known[by_bytes[data]] = struct.pack(f"<{len(ids)}I", *ids)
         for run, special, ends in held:
@@ -181,10 +192,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     may be null or repeat; no rows give no rows; other columns are ignored.
     """
     shared = share(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(shared.value, lambda: TextEncoder(shared.value))
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE):
             packed = list(encoder.encode_all(t.as_py() or "" for t in batch.column(1)))
             columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
             names = ["id", "ids", "n_tokens"]
@@ -200,11 +212,12 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with the column ``decoded``, which it must not have yet; null ids give a null text."""
     shared = share(encoded.sparkSession, path)
-    schema = encoded.select("*").schema.add("decoded", "string")
+    small_batches(encoded.sparkSession)
+    schema, at = encoded.select("*").schema.add("decoded", "string"), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(shared.value, lambda: TextEncoder(shared.value))
-        for batch in batches:
+        for batch in pieces(batches, at, PIECE):
             texts = [None if p.as_py() is None else encoder.decode(p.as_py()) for p in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 

@@ -9,6 +9,9 @@ from contextlib import contextmanager
 from itertools import count
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectlens.session import new_table_path, shared_folder
@@ -17,6 +20,7 @@ T = TypeVar("T")
 WHITE = re.compile(rb"[\x20\x09-\x0d]")
 MOST_BITS = 1 << 28  # of hashes, broadcast: 32 MB
 BLOCK = 1 << 20  # bytes of a text whose words are held at a time
+BATCH = "4m"  # of rows that go to a Python worker at a time
 
 
 def ascii_lower(text: Column) -> Column:
@@ -34,6 +38,27 @@ def word_blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
         start = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` bytes, unless the session has a size of its own; Spark's is 64 MB, which worker and executor hold at once, some of it twice."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices whose texts or bytes in column ``at`` are ``size`` bytes at most, or one row.
+
+    What is made of a slice and sent back needs memory for the slice alone, in the worker and in the executor.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start, before = end, ends[end - 1]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the shared checkpoint folder from now on, so that lost executors cost no rework.
 

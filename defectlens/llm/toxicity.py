@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from defectlens.llm.common import all_columns, held, unused
+from defectlens.llm.common import all_columns, held, small_batches, unused
 
 WINDOW, STRIDE = 32, 16  # words
 WORD = re.compile(r"[^\W_]+")
@@ -350,6 +350,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
 def _scored(docs: DataFrame, model: Model, text: str) -> tuple[str, DataFrame]:
     """``docs`` with the score in a column of a new name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    small_batches(docs.sparkSession)
     (name,), at = unused(docs, "score"), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,12 @@ import struct
 from os.path import commonprefix
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from defectlens.llm import bpe, tokencount
+from defectlens.llm import bpe, common, tokencount
 from defectlens.llm.vocab import Vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,3 +98,35 @@ def test_tables(spark, library):
     assert counted == sorted(((i, len(t.encode()), len(ids), len(ids) > 512) for i, ids, t in want), key=str)
     nothing = spark.createDataFrame([], SCHEMA)
     assert bpe.encode(nothing, PATH).count() == tokencount.count_tokens(nothing, PATH).count() == 0
+
+
+def test_rows_go_through_in_pieces(spark):
+    """What a worker holds of its input and output is bounded in bytes, not only in rows."""
+    column = [None, "", "ab", "é" * 4, "x" * 50, "", "y", None, "zz"]
+    batch = pa.record_batch([pa.array(range(len(column))), pa.array(column)], names=["id", "t"])
+    got = [p.column(1).to_pylist() for p in common.pieces(iter([batch, batch.slice(0, 0), batch.slice(2)]), 1, 10)]
+    want = [[None, "", "ab", "é" * 4], ["x" * 50, ""], ["y", None, "zz"], ["ab", "é" * 4], ["x" * 50, ""], ["y", None, "zz"]]
+    assert sum(got, []) == sum(want, []) and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in got)
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    out = bpe.encode(df, PATH, decoded=True)
+    sizes = df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) < 5 << 20
+    assert out.select(F.count("id"), F.min("n_tokens"), F.max("n_tokens"), F.countDistinct("decoded")).first()[:] == (3000, 1001, 1001, 1)
+    spark.conf.set(name, "2m")
+    bpe.encode(df, PATH)
+    assert spark.conf.get(name) == "2m"  # the session's own size stays
+    spark.conf.unset(name)
+
+
+def test_words_met_again_stay_known(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    encoder, asked = bpe.TextEncoder(vocabulary), []
+    real = encoder.trie.encode
+    monkeypatch.setattr(encoder.trie, "encode", lambda words: asked.extend(words) or real(words))
+    for i in range(50):
+        list(encoder.encode_all([f"often x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"]))
+        assert len(encoder.known) + len(encoder.older) <= 2 * (3 + 2)
+    assert asked.count(b"often") == 1
